@@ -112,7 +112,7 @@ def test_budgets_are_met():
         assert abs(got - budget) == min(abs(s - budget) for s in reached) or budget not in reached and abs(got - budget) <= max(lengths)
         far = mixing.fit_budget(np.array(lengths), np.array(counts) * 1000, budget * 1000)
         assert abs(int((far * np.array(lengths)).sum()) - budget * 1000) <= max(lengths)
-    assert mixing.water_fill([10, 10, 80], [1, 2, 3]) == pytest.approx([23.3333333, 30, 46.6666667])
+    assert mixing.water_fill([10, 10, 80], [1, 2, 3]) == pytest.approx([17.5, 30, 52.5])
     assert mixing.water_fill([0, 5], [1, 2]) == [0, 5] and mixing.water_fill([], []) == []
 
 
