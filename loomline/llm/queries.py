@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, tokenids
+from . import mixing, nearest, neardup_vectors, packing, quality, sharding, tokenids
 from .common import table
 
 
@@ -28,6 +29,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -37,6 +51,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_ids": op1_token_ids,
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
+        "op7_nearest": op7_nearest,
+        "op8_vector_dedup": op8_vector_dedup,
+        "op9_quality": op9_quality,
         "op10_sharding": op10_sharding,
     }
 
