@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, batches, remainder
 
@@ -194,7 +195,7 @@ def score_quality(docs: DataFrame, field: Field, folds: int = 3, held_out: int =
     A null or empty text is one empty line. Nothing but the text bears on the score. No row moves between tasks.
     """
     slim = docs.select(F.coalesce(remainder(docs["doc_id"], folds), F.lit(0)).eqNullSafe(F.lit(held_out)).alias("held_out"), "text", F.struct("doc_id", *keep).alias("row"))
-    schema = slim.select("row", "held_out").schema.add("score", "double").add("predicted", "int")
+    schema = slim.select("row", "held_out").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
