@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, nearest, neardup_vectors, packing, quality, sharding, tokenids
+from . import mixing, nearest, neardup_vectors, ngram_join, packing, quality, sharding, tokenids
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_ids": op1_token_ids,
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
+        "op6_ngram_join": op6_ngram_join,
         "op7_nearest": op7_nearest,
         "op8_vector_dedup": op8_vector_dedup,
         "op9_quality": op9_quality,
