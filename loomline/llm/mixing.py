@@ -63,6 +63,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, reach: int
     mask, reached, steps = (1 << (left + 1)) - 1, 1, []
     for i in order[::-1]:
         size, have, k = int(lengths[i]), int(counts[i] - take[i]), 1
+        if not size:
+            continue
         if size > left:
             break
         have = min(have, left // size)
