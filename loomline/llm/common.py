@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import unicodedata
 import uuid
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -138,56 +143,83 @@ def batches(texts: list, budget: int = 4_000_000):
         yield begin, len(texts)
 
 
+#: Where a text may be cut: before a single space or line feed between non-spaces.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: A piece that any of the vocabularies takes as letters and a run of ASCII marks (but for the apostrophe).
+_PLAIN = re.compile(r"([ \n]?)([^\W\d_]*)([!-&(-/:-@[-`{-~]*)")
+
+
+class _Generations(dict):
+    """A bounded cache: when full, entries that aren't asked for again until it is full once more are dropped."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class TokenCache:
-    """Encodes texts with a ``tokenizers`` file, each distinct piece between spaces once.
+    """Encodes texts with a ``tokenizers`` file, each distinct piece once: byte-level BPE with the usual pattern.
 
-    Neither vocabulary merges across a space that a non-space follows, so the ids of a text are those of its
-    pieces in turn. The ids are little-endian unsigned 32-bit integers, as bytes. The cache is emptied when full.
+    No token crosses a place where ``_CUT`` cuts, so the ids of a text are those of its pieces in turn. Letters with
+    marks go to the file's model at once; other pieces through the whole tokenizer. The ids are little-endian unsigned
+    32-bit integers, as bytes. ``spaced``: the vocabulary keeps white space, as part of the word that follows.
     """
 
     _open: dict[tuple[str, bool], TokenCache] = {}
 
-    def __init__(self, path: str, spaced: bool, most: int = 400_000):
-        import os
-
+    def __init__(self, path: str, spaced: bool, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced, self.most, self.known = spaced, most, {}
+        self.model, self.spaced = self.tokenizer.model, spaced
+        # Byte-level vocabularies write each byte as one printable character.
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.bytes = {b: chr(b if b in set(kept) else next(rest)) for b in range(256)}
+        self.words, self.known = _Generations(self._word, most), _Generations(self._piece, most)
 
     @classmethod
     def get(cls, path: str, spaced: bool) -> TokenCache:
-        """One per Python worker; ``spaced``: a piece keeps the space before it."""
+        """One for each Python worker."""
         if (path, spaced) not in cls._open:
             cls._open[path, spaced] = cls(path, spaced)
         return cls._open[path, spaced]
 
-    def pieces(self, text: str) -> list[str]:
-        found = text.split(" ")
+    def _word(self, word: str) -> bytes:
+        written = word if word.isascii() and word.isalpha() else "".join(map(self.bytes.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        plain = _PLAIN.fullmatch(piece)
+        space, letters, marks = plain.groups() if plain else ("", "?", "")
+        if not self.spaced and not letters.isascii():
+            letters = unicodedata.normalize("NFC", letters).lower() if "\u03a3" not in letters else "?"  # whose lower case depends on its place
+        if letters and not letters.isalpha():
+            return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if not self.spaced:
-            return found
-        out = [found[0]] if found[0] else []
-        for p in found[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            elif out:
-                out[-1] += " " + p  # a space that white space follows stays with what is before it
-            else:
-                out.append(" " + p)
-        return out
+            letters = letters.lower()
+            return (self.words[letters] if letters else b"") + (self.words[marks] if marks else b"")
+        out = self.words[space] if space == "\n" or space and not letters and not marks else b""
+        space = "" if space == "\n" else space
+        if letters:
+            return out + self.words[space + letters] + (self.words[marks] if marks else b"")
+        return out + (self.words[space + marks] if marks else b"")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        missing = list({p for c in cut for p in c if p not in self.known})
-        if missing:
-            if len(self.known) + len(missing) > self.most:
-                self.known = {}
-                missing = list({p for c in cut for p in c})
-            for i in range(0, len(missing), 20_000):
-                part = missing[i : i + 20_000]
-                for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.known[p] = np.asarray(e.ids, "<u4").tobytes()
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        if self.spaced:
+            return [b"".join(map(get, _CUT.split(t))) if t else b"" for t in texts]
+        # White space between words is dropped.
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]

@@ -30,6 +30,8 @@ def crc(ids):
 def test_cache_equals_plain_encoding(path, spaced):
     r = random.Random(1)
     texts = ["".join(r.choice("ab 1.\n\t é　\x1c'sŚ 日<|>") for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    alphabet = ["a", "Ab", "é", "e\u0301", "ΑΣ", "Σ", "ß", "İ", "²", "½", "7", "_", ".", "%%%", "'", "'s", "'re", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\x1c", "\x85", "　", "\u0301", "日本", "<|endoftext|>", "\x00", "🙂", "ﬁ", "Å"]
+    texts += ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(6000)]
     texts += ["", " ", "  ", " a", "a ", "a  b", "\n a", "<|endoftext|> x <|endoftext|>", "don't  stop\n\n now"]
     assert [np.frombuffer(b, "<u4").tolist() for b in TokenCache(path, spaced, 50).encode(texts)] == plain(path, texts)
 
@@ -132,7 +134,8 @@ def test_mixing(odd, empty):
         assert r.target == pytest.approx(target[r.source_size])
         assert r.taken <= 3 * r.size and (not r.taken or r.taken % r.size == 0)
         taken[r.source_size] += r.taken
-    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    got = {s: (taken[sizes[s]], target[sizes[s]]) for s in sizes if s != "c"}  # c is one document
+    assert all(abs(a - t) <= 30 for a, t in got.values()), got  # a source may lack documents as small as what is left
     assert Counter(map(tuple, mixing.mix_sources(odd).collect())) == Counter(map(tuple, found))
     assert mixing.mix_sources(empty).count() == 0
 
