@@ -23,7 +23,7 @@ from .vectors import bits, rotation, usable
 SAMPLE = 8192
 ROTATIONS = 4
 #: Rows of an indexed block, and queries of a block of queries.
-ROWS, QUERIES = 8192, 512
+ROWS, QUERIES = 16384, 256
 SUBSTRING = 8
 #: Share of true neighbours of sampled queries that the radius takes in.
 COVER = 0.98
@@ -74,12 +74,14 @@ class Index:
     def __init__(self, codes: np.ndarray, n_bits: int):
         self.codes, self.m = codes, -(-n_bits // SUBSTRING)
         parts = codes.view(np.uint8)[:, : self.m]
+        self.parts = np.ascontiguousarray(parts.T)
         self.rows, self.begin = [], []
         for j in range(self.m):
             self.rows.append(np.argsort(parts[:, j], kind="stable").astype(np.int32))
             self.begin.append(np.concatenate([[0], np.cumsum(np.bincount(parts[:, j], minlength=256))]))
         apart = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
-        self.balls = [[np.flatnonzero(apart[v] <= r) for v in range(256)] for r in range(SUBSTRING + 1)]
+        self.inside = [apart <= r for r in range(SUBSTRING + 1)]
+        self.balls = [[np.flatnonzero(apart[v] <= r) for v in range(256)] for r in range(2)]
 
     def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """All rows within ``radius`` of ``code``, and their distances."""
@@ -92,12 +94,14 @@ class Index:
                 near = share if j <= rest else share - 1  # m substrings can't all exceed these without exceeding radius
                 if near < 0:
                     break
-                begin, rows = self.begin[j], self.rows[j]
-                for value in self.balls[near][v]:
-                    if begin[value] < begin[value + 1]:
-                        seen[rows[begin[value] : begin[value + 1]]] = True
-                if j % 8 == 7 and seen.all():
-                    break
+                if near < 2:  # few buckets: each is a run of rows
+                    for value in self.balls[near][v]:
+                        seen[self.rows[j][self.begin[j][value] : self.begin[j][value + 1]]] = True
+                else:  # many: the values of all rows are looked up in the ball
+                    seen |= self.inside[near][v][self.parts[j]]
+                    if j % 4 == 3 and 2 * np.count_nonzero(seen) > len(seen):
+                        seen[:] = True  # comparing all codes is cheaper than probing on
+                        break
             found = np.flatnonzero(seen)
         far = np.bitwise_count(self.codes[found] ^ code).sum(1, dtype=np.int64)
         keep = far <= radius
