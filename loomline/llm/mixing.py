@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, written
@@ -88,8 +88,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, reach: int
     return take
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 11) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text, source) with size, source_size, target and taken.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 11, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text, source) with size, source_size, target and taken, and what ``keep`` adds.
 
     Sources in code-point order, null last, get ``weights`` in turn. A null or blank text has size 0 and is taken 0
     times. ``taken`` is a whole multiple of size, at most ``most`` of them. Equal rows differ by no more than one
@@ -97,7 +97,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: fl
     """
     spark = docs.sparkSession
     hashed = F.xxhash64(F.lit(seed), "doc_id", "text")
-    slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("_h"))
+    slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("_h"), *keep)
+    kept = slim.columns[4:]
     slim = written(slim.withColumn("_part", F.pmod("_h", F.lit(PARTS)).cast("int")), "mix")
     parts = slim.groupBy("source", "size", "_part").agg(F.count("*").alias("_n"))
     sums = parts.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("s")).collect()
@@ -124,4 +125,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: fl
     slim = slim.join(names, slim["source"].eqNullSafe(names["_source"])).drop("_source", "source")
     found = slim.join(quota, ["_rank", "size", "_part"])
     nth = F.row_number().over(Window.partitionBy("_rank", "size", "_part").orderBy("_h", "doc_id"))
-    return found.withColumn("_nth", nth).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("_repeats") + (F.col("_nth") <= F.col("_quota")).cast("long"))).cast("long").alias("taken"))
+    return found.withColumn("_nth", nth).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("_repeats") + (F.col("_nth") <= F.col("_quota")).cast("long"))).cast("long").alias("taken"), *kept)
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 11) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the mix takes them; blank texts go."""
+    hashed = F.xxhash64(F.lit(seed), "doc_id", "text", "source")
+    taken = mix_sources(docs, weights, share, most, seed, (hashed.alias("_key"),)).where("taken > 0")
+    copies = taken.groupBy("_key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    # Rows that are the same in doc_id, text and source: the first stands for all.
+    found = docs.withColumn("_key", hashed).join(copies, "_key")
+    again = docs.select(hashed.alias("_key")).groupBy("_key").count().where("count > 1").select("_key")
+    if again.limit(1).count():
+        found = found.join(again, "_key", "left_anti").union(found.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, nearest, neardup_vectors, ngram_join, packing, passage_dedup, quality, sharding, tokenids
+from . import lm_score, mixing, nearest, neardup_vectors, ngram_join, packing, passage_dedup, quality, sharding, tokenids
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_documents(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_passages": op2_passages,
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
+        "op5_lm_score": op5_lm_score,
         "op6_ngram_join": op6_ngram_join,
         "op7_nearest": op7_nearest,
         "op8_vector_dedup": op8_vector_dedup,
