@@ -125,8 +125,10 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool
         return pd.DataFrame({"region": pdf["region"], "part": pdf["part"], "least": doc_ids, "mask": pd.Series(masks, dtype=object)})
 
     hits = filed.groupBy("shard").applyInPandas(search, "region long, part int, least long, mask binary")
-    # Windows that were filed one by one come together again: at most those of one region.
-    one = hits.where("part = 0").groupBy("region").agg(F.min("least").alias("least"), F.first("mask", ignorenulls=True).alias("mask"), F.lit(None).cast("array<int>").alias("parts"))
+    # What the filter let through in vain is of later documents: the first one's answer holds. Windows that were filed
+    # one by one come together again: at most those of one region.
+    hits = hits.groupBy("region", "part").agg(F.min("least").alias("least"), F.min_by("mask", "least").alias("mask"))
+    one = hits.where("part = 0").select("region", "least", "mask", F.lit(None).cast("array<int>").alias("parts"))
     many = hits.where("part > 0").groupBy("region").agg(F.min("least").alias("least"), F.lit(None).cast("binary").alias("mask"), F.collect_set(F.when(F.col("mask").isNotNull(), F.col("part"))).alias("parts"))
     hits = written(one.union(many) if len(hot_anchors) else one, "hits")
 

@@ -61,6 +61,13 @@ def test_removal(spark, rows, shard, hot):
         assert sorted((x.doc_id for x in left.collect()), key=str) == sorted((b[0] for b in brute(rows) if not b[1] or b[2] < b[1]), key=str)
 
 
+def test_what_the_filter_lets_through_does_no_harm(spark, rows, monkeypatch):
+    monkeypatch.setattr(passage_dedup, "FILTER_BITS", 256)  # nearly everything passes
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (16000, 3):
+        assert sorted(map(tuple, passage_dedup.remove_repeats(df, hot=hot).collect()), key=str) == brute(rows)
+
+
 def test_empty(empty):
     assert passage_dedup.remove_repeats(empty).count() == 0
 
