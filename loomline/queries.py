@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -174,7 +175,8 @@ def _decoded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf: str) -> DataFrame:
-    path = tempfile.mkdtemp() if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/loomline-stream-{abs(hash(sf))}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    path = f"{shared}/loomline-stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(_table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     lines = source.select(F.col("event_id").alias("idx"), F.concat_ws(" ", F.lit("user"), "user_id", F.lit("did"), "event_type", F.lit("props"), "props").alias("msg"))
     q = match_stream(lines, TemplateMatcher(spark, TEMPLATES)).select("idx", F.col("template_id").cast("long").alias("template_id")).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
