@@ -35,6 +35,8 @@ FREE = 20.0
 SCAN = 3.0
 #: Signatures a task gathers before it passes them on, and candidate sets compared in one task.
 GATHER, SETS = 2_000_000, 4_000
+#: Sets of one least set up to which pairs compared are remembered (64 MB).
+MEMO = 8192
 #: Bits of the filter of candidate sets, at most (8 MB); what it lets through in vain is dropped by a join.
 FILTER_BITS = 1 << 26
 
@@ -141,40 +143,43 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def links_of_groups(names: np.ndarray, sets: list[np.ndarray], groups: list[np.ndarray]) -> np.ndarray:
-    """Of each set, the smallest of ``names`` in its component; links are sought within ``groups`` (numbers of sets)."""
-    parent, failed = list(range(len(sets))), set()
-    size = np.array([len(s) for s in sets])
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for members in sorted(groups, key=len):
-        rest = members.tolist()
-        while len({find(i) for i in rest}) > 1:
-            i = rest.pop(0)
-            mine, n = find(i), size[i]
-            others = [j for j in rest if find(j) != mine and SHARE[1] * min(n, size[j]) >= SHARE[0] * max(n, size[j]) and (min(i, j), max(i, j)) not in failed]
-            if not others:
-                continue
-            for at in range(0, len(others), 512):
-                part = others[at : at + 512]
-                both = np.concatenate([sets[j] for j in part])
-                place = np.minimum(np.searchsorted(sets[i], both), n - 1)
-                common = np.add.reduceat((sets[i][place] == both).astype(np.int64), np.concatenate([[0], np.cumsum(size[part])[:-1]]))
-                hit = SHARE[1] * common >= SHARE[0] * (n + size[part] - common)
-                for j, h in zip(part, hit.tolist(), strict=True):
-                    if h:
-                        parent[find(j)] = find(i)
-                    else:
-                        failed.add((min(i, j), max(i, j)))
-    root = np.array([find(i) for i in range(len(sets))], np.int64)
+def links_of_groups(names: np.ndarray, sets: list[np.ndarray], batches_: list[list[np.ndarray]]) -> np.ndarray:
+    """Of each set, the smallest of ``names`` in its component; links are sought within groups (numbers of sets). A
+    pair that was compared isn't again in the other groups of a batch."""
+    if not len(sets):
+        return names.copy()
+    size, comp = np.array([len(s) for s in sets]), np.arange(len(sets))
+    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(int(dense.max()) + 1, np.uint8)
+    dense = np.split(dense.astype(np.int32), np.cumsum(size)[:-1])
+    for groups in batches_:
+        own = np.unique(np.concatenate(groups))
+        done = np.zeros((len(own), len(own)), bool) if len(own) <= MEMO else None
+        for members in sorted(groups, key=len):
+            place = np.searchsorted(own, members)
+            for k, i in enumerate(members[:-1].tolist()):
+                rest, n = members[k + 1 :], size[i]
+                near = (comp[rest] != comp[i]) & (SHARE[1] * np.minimum(n, size[rest]) >= SHARE[0] * np.maximum(n, size[rest]))
+                if done is not None:
+                    near &= ~done[place[k], place[k + 1 :]]
+                    done[place[k], place[k + 1 :]] |= near
+                others = rest[near]
+                if not len(others):
+                    if (comp[rest] == comp[i]).all():
+                        break  # all that is left is one component, and compared with what came before
+                    continue
+                mark[dense[i]] = 1
+                for at in range(0, len(others), 512):
+                    part = others[at : at + 512]
+                    both = mark[np.concatenate([dense[j] for j in part.tolist()])]
+                    common = np.add.reduceat(both, np.concatenate([[0], np.cumsum(size[part])[:-1]]), dtype=np.int64)
+                    for j in part[SHARE[1] * common >= SHARE[0] * (n + size[part] - common)].tolist():
+                        if comp[j] != comp[i]:
+                            comp[comp == comp[j]] = comp[i]
+                mark[dense[i]] = 0
     least = names.copy()
-    np.minimum.at(least, root, names)
-    return least[root]
+    np.minimum.at(least, comp, names)
+    return least[comp]
 
 
 def near_documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -242,22 +247,24 @@ def near_documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     listed = written(sent.groupBy("p").applyInPandas(lists, "list long, least long, members binary"), "lists")
 
-    # 3. Sets that lists connect are compared in one task.
+    # 3. Lists go to the task of their least set, and so do the sets they hold.
     def star(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             pairs = [np.frombuffer(m, np.int64) for m in batch.column(0).to_pylist()]
             if pairs:
                 b = np.unique(np.stack([np.repeat([m[0] for m in pairs], [len(m) for m in pairs]), np.concatenate(pairs)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(b[0]), pa.array(b[1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(b[0]), pa.array(b[1])], ["least", "name"])
 
-    blocks = components(listed.select("members").mapInArrow(star, "a long, b long"))
-    n_sets = blocks.count()
-    bins = max(1, math.ceil(n_sets / SETS))
-    blocks = blocks.select(F.col("node").alias("name"), F.pmod(F.xxhash64("root"), F.lit(bins)).cast("int").alias("bin"))
+    stars = written(listed.select("members").mapInArrow(star, "least long, name long").distinct(), "stars")
+    bins = max(1, math.ceil(stars.count() / SETS))
+    bin_of = F.pmod(F.xxhash64("least"), F.lit(bins)).cast("int")
+    needed = stars.select("name", bin_of.alias("bin")).distinct()
+    names = stars.select("name").distinct()
+    n_sets = names.count()
 
     # 4. Names and sizes of all rows, and the sets that a filter of bounded size takes for candidates.
     n_bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (n_sets * 64).bit_length()))
-    bit = blocks.select(F.shiftright(F.col("name").bitwiseAND(n_bits - 1), 6).alias("word"), F.expr("shiftleft(1L, cast(name & 63 as int))").alias("bit"))
+    bit = names.select(F.shiftright(F.col("name").bitwiseAND(n_bits - 1), 6).alias("word"), F.expr("shiftleft(1L, cast(name & 63 as int))").alias("bit"))
     filter_ = np.zeros(n_bits // 64, np.int64)
     for r in bit.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # one row for each word of the filter
         filter_[r["word"]] = r["bits"]
@@ -280,9 +287,8 @@ def near_documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = written(slim.select("row", "text").mapInArrow(name_rows, schema), "sets")
 
     # 5. The exact comparison.
-    sets = rows.where("members is not null and row.doc_id is not null").groupBy("name").agg(F.first("members").alias("members")).join(blocks, "name")
-    where = blocks.select(F.col("name").alias("least"), F.col("bin").alias("to"))
-    groups = listed.dropDuplicates(["list"]).join(where, "least").select("to", "members")
+    sets = rows.where("members is not null and row.doc_id is not null").groupBy("name").agg(F.first("members").alias("members")).join(needed, "name")
+    groups = listed.dropDuplicates(["list"]).select(bin_of.alias("to"), "least", "members")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = left["name"].to_numpy(np.int64)
@@ -290,10 +296,14 @@ def near_documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         names = names[order]
         held = left["members"].to_numpy()
         members = [np.frombuffer(held[i], np.uint64) for i in order]
-        found = [np.searchsorted(names, np.frombuffer(m, np.int64)) for m in right["members"]]
-        return pd.DataFrame({"name": names, "top": links_of_groups(names, members, found)})
-
-    tops = sets.groupBy("bin").cogroup(groups.groupBy("to")).applyInPandas(compare, "name long, top long")
+        by_least: dict[int, list[np.ndarray]] = {}
+        for least, m in zip(right["least"], right["members"], strict=True):
+            by_least.setdefault(least, []).append(np.searchsorted(names, np.frombuffer(m, np.int64)))
+        top = links_of_groups(names, members, list(by_least.values()))
+        return pd.DataFrame({"name": names, "top": top})[names != top]
+
+    links = sets.groupBy("bin").cogroup(groups.groupBy("to")).applyInPandas(compare, "name long, top long")
+    tops = components(links.select(F.col("name").alias("a"), F.col("top").alias("b"))).select(F.col("node").alias("name"), F.col("root").alias("top"))
 
     # 6. The smallest doc_id of each component.
     least = rows.where("name is not null and row.doc_id is not null").groupBy("name").agg(F.min("row.doc_id").alias("least")).join(tops, "name", "left").withColumn("top", F.coalesce("top", "name"))
