@@ -103,10 +103,19 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, whatever its place: differences of one prefix sum, all vectorised."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 23) -> np.ndarray:
+    """A 64-bit hash of each of the ordered byte spans, whatever its place; about ``most`` bytes are worked on at once."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        begin = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, begin + most)))
+        out[i:j] = _hash_spans(raw[begin : int(ends[j - 1])], starts[i:j] - begin, ends[i:j] - begin)
+        i = j
+    return out
+
+
+def _hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Differences of one prefix sum, all vectorised."""
     with np.errstate(over="ignore"):
         sums = np.empty(len(raw) + 1, np.uint64)
         sums[0] = 0
@@ -145,6 +154,8 @@ def batches(texts: list, budget: int = 4_000_000):
 
 #: Where a text may be cut: before a single space or line feed between non-spaces.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: White space that keeps a text from being cut at every space and line feed.
+_OTHER = re.compile(r"[^\S \n]")
 #: A piece that any of the vocabularies takes as letters and a run of ASCII marks (but for the apostrophe).
 _PLAIN = re.compile(r"([ \n]?)([^\W\d_]*)([!-&(-/:-@[-`{-~]*)")
 
@@ -177,7 +188,7 @@ class TokenCache:
 
     _open: dict[tuple[str, bool], TokenCache] = {}
 
-    def __init__(self, path: str, spaced: bool, most: int = 300_000):
+    def __init__(self, path: str, spaced: bool, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -189,6 +200,7 @@ class TokenCache:
         rest = iter(range(256, 512))
         self.bytes = {b: chr(b if b in set(kept) else next(rest)) for b in range(256)}
         self.words, self.known = _Generations(self._word, most), _Generations(self._piece, most)
+        self.after_space = _Generations(lambda p: self._piece(p if p[0] == "\n" else " " + p), most)
 
     @classmethod
     def get(cls, path: str, spaced: bool) -> TokenCache:
@@ -217,9 +229,14 @@ class TokenCache:
             return out + self.words[space + letters] + (self.words[marks] if marks else b"")
         return out + (self.words[space + marks] if marks else b"")
 
+    def _spaced(self, text: str) -> bytes:
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n" or _OTHER.search(text):
+            return b"".join(map(self.known.__getitem__, _CUT.split(text)))
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return (self.known[first] if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        get = self.known.__getitem__
         if self.spaced:
-            return [b"".join(map(get, _CUT.split(t))) if t else b"" for t in texts]
-        # White space between words is dropped.
+            return [self._spaced(t) if t else b"" for t in texts]
+        get = self.known.__getitem__  # white space between words is dropped
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]

@@ -41,6 +41,7 @@ def test_words_are_hashed_wherever_they_stand():
     assert np.diff(w.at).tolist() == [3, 0, 0, 3]
     h = w.hashes.tolist()
     assert h[0] == h[2] == h[4] and h[1] == h[3] and len(set(h)) == 3
+    assert hash_spans(w.raw, w.starts, w.ends, 2).tolist() == h
     assert len(hash_spans(np.zeros(0, np.uint8), np.zeros(0, int), np.zeros(0, int))) == 0
 
 
