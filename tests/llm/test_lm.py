@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -70,6 +71,31 @@ def test_chances_sum_to_one_and_windows_score_each_id_once():
     assert (both < 0).all() and len(both) == 30
 
 
+def test_every_id_of_a_training_text_is_a_target_once():
+    r = np.random.default_rng(4)
+    texts = [r.integers(0, 128, n) for n in (1, 15, 16, 17, 31, 32, 33, 48, 49, 500)]
+    blocks = list(attention.windows(texts, block=7))
+    rows, of, nth = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    both = attention.with_targets(rows.astype(np.uint8), 128)
+    before, targets = both[:, :32], both[:, 32:]
+    for i, t in enumerate(texts):
+        own = targets[of == i]
+        assert own[own >= 0].tolist() == t.tolist() and nth[of == i].tolist() == list(range(len(own)))
+        assert before[of == i][own >= 0].tolist() == [128, *t[:-1].tolist()]
+
+
+def test_training_takes_all_windows(spark, monkeypatch):
+    r = random.Random(3)
+    text = " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(3000))
+    docs = spark.createDataFrame([(text,), ("alpha beta",), (None,)], "text string")
+    vocabulary, _ = lm_score.learn(docs, BYTE)
+    kept, write = {}, lm_score.written
+    monkeypatch.setattr(lm_score, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    lm_score.fit(docs, vocabulary)
+    rows = np.stack([np.frombuffer(r["window"], np.uint8) for r in kept["windows"].collect()])
+    assert (attention.with_targets(rows, lm_score.N_CLASSES)[:, attention.WINDOW :] >= 0).sum() == 3000 + 1 + 2 + 1 + 1
+
+
 def test_masked():
     w = attention.initial(9, np.zeros(9))
     a = np.random.default_rng(0).integers(0, 9, (1, 20))
