@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from loomline.llm import attention, lm_score
-from loomline.llm.common import table
+from loomline.llm.common import TokenCache, Words, table
 from loomline.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.01"
@@ -71,6 +71,26 @@ def test_chances_sum_to_one_and_windows_score_each_id_once():
     assert (both < 0).all() and len(both) == 30
 
 
+def test_classes_depend_on_words_alone(spark):
+    # Each word stands once in each batch of more than 20,000 distinct words; one is longer than 40 bytes.
+    words = [f"{a}{b}{c}q" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    words.append("river" * 9)
+    docs = spark.createDataFrame([(" ".join(words),), (" ".join(words[::-1]),)], "text string")
+    few = spark.createDataFrame([(" ".join(words[i : i + 5000]),) for i in range(0, len(words), 5000)] * 2, "text string")
+    found = [lm_score.learn(d, BYTE)[0] for d in (docs.repartition(2), docs.coalesce(1), few.repartition(7))]
+    assert len(found[0].hashes) == len(words) > 20_000
+    for v in found[1:]:
+        assert (v.hashes == found[0].hashes).all() and (v.classes == found[0].classes).all()
+    cache = TokenCache.get(BYTE, True)
+    first = {w: cache.encode([" " + w])[0][:4] for w in words}
+    many = Counter(first.values())
+    most = sorted(many.values(), reverse=True)[lm_score.N_CLASSES - lm_score.OTHER - 1 :]
+    hashes = Words([" ".join(words)]).hashes
+    classes = dict(zip(words, found[0].classes[found[0].find(hashes)].tolist(), strict=True))
+    assert all(classes[w] > lm_score.OTHER for w in words if not most or many[first[w]] > most[0])
+    assert len({(first[w], classes[w]) for w in words}) == len(many)
+
+
 def test_every_id_of_a_training_text_is_a_target_once():
     r = np.random.default_rng(4)
     texts = [r.integers(0, 128, n) for n in (1, 15, 16, 17, 31, 32, 33, 48, 49, 500)]
