@@ -1,8 +1,8 @@
 """Mixing sources to target weights by fitting each source's budget as a subset sum.
 
 Documents are counted by exact length; whole repeats of a source come first, then each length gives its share of the
-rest, and a bounded-knapsack dynamic programme over the counts that are left closes the remaining budget, nearly always
-to the word. Which documents of a length are taken is drawn by a seeded hash.
+rest, whatever that is, but for a reserve as small as will do, and a bounded-knapsack dynamic programme over the counts
+that are left closes the remaining budget, nearly always to the word. Which documents of a length are taken is drawn by a seeded hash.
 """
 
 from __future__ import annotations
@@ -39,8 +39,22 @@ def water_fill(sizes: list[int], weights: list[int], share: float = 1.0, most: f
     return targets
 
 
+def _share(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """Of each length its share of ``budget``; fractions are carried to the next shorter length, so that the sum is at
+    most ``budget`` and less by no more than the longest document."""
+    total, take = int((lengths * counts).sum()), np.zeros(len(lengths), np.int64)
+    seen, done, budget = 0, 0, min(budget, total)
+    for i in np.argsort(-lengths, kind="stable").tolist() if total else ():
+        seen += int(counts[i])
+        take[i] = seen * budget // total - done
+        done += int(take[i])
+    return take
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, reach: int = REACH) -> np.ndarray:
-    """How many documents of each length to take, so that their lengths sum to ``budget`` or as near as found."""
+    """How many documents of each length to take, so that their lengths sum to ``budget`` or as near as found.
+
+    Each length gives its share, but for a reserve that the programme fills; the reserve is as small as will do."""
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((lengths * counts).sum())
     take = np.zeros(len(lengths), np.int64)
@@ -48,8 +62,28 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, reach: int
         return take
     if budget >= total:
         return counts.copy()
-    if budget > reach:
-        take = np.array([int(c) * budget // total for c in counts], np.int64)
+    counts = counts * (lengths > 0)
+    best, missed, reserve = take, budget + 1, min(budget, -(-total // int(counts.sum())))
+    while missed:
+        take = _share(lengths, counts, budget - reserve)
+        while True:  # what is still beyond the reserve is shared among the documents that fit in it
+            left = budget - reserve - int((lengths * take).sum())
+            more = _share(lengths, (counts - take) * (lengths <= left), left)
+            if not more.any():
+                break
+            take += more
+        take = _close(lengths, counts, take, budget, reach)
+        off = abs(budget - int((lengths * take).sum()))
+        if off < missed:
+            best, missed = take, off
+        if reserve >= min(budget, reach):
+            break
+        reserve = min(reserve * 2, budget, reach)
+    return best
+
+
+def _close(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int, reach: int) -> np.ndarray:
+    """``take`` and what the programme adds to it."""
     left = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order:  # the longest first, down to what the programme covers

@@ -119,6 +119,16 @@ def test_budgets_are_met():
     assert mixing.water_fill([0, 5], [1, 2]) == [0, 5] and mixing.water_fill([], []) == []
 
 
+@pytest.mark.parametrize("many", [1, 20])
+@pytest.mark.parametrize("budget", [4_000, 32_000, 32_768, 33_500, 400_000])
+def test_each_length_gives_its_share_at_every_budget(many, budget):
+    lengths = np.arange(20, 2000)
+    take = mixing.fit_budget(lengths, np.full(len(lengths), many), budget)
+    assert int((take * lengths).sum()) == budget and (take >= 0).all() and (take <= many).all()
+    thirds = [int((take * lengths)[(lengths >= a) & (lengths < b)].sum()) for a, b in ((20, 1155), (1155, 1633), (1633, 2000))]
+    assert all(abs(t - budget / 3) <= 2500 for t in thirds), thirds  # each a third of all words
+
+
 def test_mixing(odd, empty):
     import re
 
