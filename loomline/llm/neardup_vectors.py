@@ -102,7 +102,7 @@ def bucket_links(x: np.ndarray, weight: np.ndarray, earlier: np.ndarray, split:
     return links, np.array([find(i) for i in range(len(x))], np.int64)
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.9, recall: float = 0.999, seed: int = 29, chunk: int = CHUNK) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = 0.9, recall: float = 0.99999, seed: int = 29, chunk: int = CHUNK) -> DataFrame:
     """Every row of ``rows`` (vec_id, embedding) with n_links, component_id and kept.
 
     Rows with the same components are one class with a weight; classes are told apart by a 64-bit hash. Vectors that

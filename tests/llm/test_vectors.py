@@ -59,6 +59,20 @@ def test_near_vectors(spark, rows, chunk):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in found)
 
 
+def test_pairs_at_the_threshold_are_met_as_in_production(spark, rows):
+    found = neardup_vectors.near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in found), key=str) == brute_links(rows)
+    r, n, near = np.random.default_rng(12), 4000, 0.9002
+    a = r.standard_normal((n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = r.standard_normal((n, 64))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = near * a + np.sqrt(1 - near**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    planted = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    got = neardup_vectors.near_vectors(spark.createDataFrame(planted, "vec_id long, embedding array<double>").repartition(4)).collect()
+    assert sum(x.n_links == 0 for x in got) == 0 and {(x.n_links, x.component_id - x.vec_id % n) for x in got} == {(1, 0)}
+
+
 def test_no_vectors(spark, rows):
     none = spark.createDataFrame([], SCHEMA)
     assert neardup_vectors.near_vectors(none).count() == 0 and nearest.nearest(none, F.col("vec_id") % 20 == 0).count() == 0
