@@ -8,9 +8,11 @@ import tempfile
 import unicodedata
 import uuid
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,17 +82,20 @@ _SPACE[[32, *range(9, 14)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that are hashed at once; what working arrays take is about 40 times that.
+MOST = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(kind: str, n: int) -> np.ndarray:
-    """The powers 0..n-1 of the base or of its inverse, modulo 2**64."""
+    """The powers 0..n-1 of the base or of its inverse, modulo 2**64. Only as many as usual are kept."""
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+        size = max(2 * MOST, n)
         with np.errstate(over="ignore"):
             have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _BASE if kind == "up" else _INVERSE, np.uint64)]))
-        _powers[kind] = have
+        if size == 2 * MOST:
+            _powers[kind] = have
     return have[:n]
 
 
@@ -103,7 +108,7 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 23) -> np.ndarray:
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = MOST) -> np.ndarray:
     """A 64-bit hash of each of the ordered byte spans, whatever its place; about ``most`` bytes are worked on at once."""
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
@@ -140,16 +145,15 @@ class Words:
         self.at = np.searchsorted(self.starts, offsets)
 
 
-def batches(texts: list, budget: int = 4_000_000):
-    """Ranges of ``texts`` of about ``budget`` characters each, so that numpy's working arrays stay small."""
-    begin, used = 0, 0
-    for i, t in enumerate(texts):
-        used += len(t) if t else 0
-        if used >= budget:
-            yield begin, i + 1
-            begin, used = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def slices(batch: pa.RecordBatch, column: int, budget: int = 1_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of rows whose texts in ``column`` have about ``budget`` bytes (one row at least), and the texts: neither
+    they nor numpy's working arrays are ever made for a whole batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + budget, side="right")))
+        yield begin, end, batch.column(column).slice(begin, end - begin).to_pylist()
+        begin = end
 
 
 #: Where a text may be cut: before a single space or line feed between non-spaces.
@@ -161,19 +165,21 @@ _PLAIN = re.compile(r"([ \n]?)([^\W\d_]*)([!-&(-/:-@[-`{-~]*)")
 
 
 class _Generations(dict):
-    """A bounded cache: when full, entries that aren't asked for again until it is full once more are dropped."""
+    """A bounded cache: when full, entries that aren't asked for again until it is full once more are dropped. An entry
+    counts by its length, so that long pieces don't make it large."""
 
     def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.used, self.old = make, most, 0, {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
+        if self.used >= self.most:
+            self.old, self.used = dict(self), 0
             self.clear()
+        self.used += 1 + len(key) // 32
         self[key] = found
         return found
 
@@ -188,7 +194,7 @@ class TokenCache:
 
     _open: dict[tuple[str, bool], TokenCache] = {}
 
-    def __init__(self, path: str, spaced: bool, most: int = 500_000):
+    def __init__(self, path: str, spaced: bool, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

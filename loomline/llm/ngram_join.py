@@ -1,16 +1,19 @@
 """N-gram Jaccard self-join of documents: a size-aware heavy-light join, and the components of its links.
 
-A document is the set of its five-word shingles, as 64-bit hashes. Pairs with a light set (few shingles) share a subset
-of a size that only the larger size fixes, so light sets enumerate all subsets of that size. Pairs of heavy sets differ
-in a ninth of their joint size at most; hash space is cut in so many parts that some part must be (or all but certainly
-is) free of differences, and inverted lists of equal parts are scanned. The boundary is where enumeration gets dearer
-than scanning. Sets that share a list are candidates; an exact count of common shingles decides each pair that isn't
-connected already.
+A document is the set of its five-word shingles, as 64-bit hashes. Light sets (few shingles) enumerate all subsets of a
+size that only the larger size of a pair fixes; linked sets share one. Heavy sets are filed in inverted lists under
+their rarest shingles: of two linked sets, each has so few shingles that the other lacks that some list holds both. The
+lists are scanned. The boundary is where enumeration gets dearer than scanning.
+
+Sets that share a list are candidates. Each is compared with the first set of its list; linked ones become one
+component, and what is still apart in a list is compared pair by pair, in chunks. An exact count of common shingles
+decides every link; the order of shingles by rarity bears on the length of lists, never on what is found.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -18,25 +21,25 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, batches, mix, written
+from .common import Words, mix, remove, slices, written
 from .connected import components
 
 SHINGLE = 5
 #: A link: SHARE[1] * common >= SHARE[0] * union.
 SHARE = (4, 5)
-#: Expected parts free of differences for a pair at the threshold, where fewer parts than differences are used; the
-#: chance that none is free is below 1e-8.
-FREE = 20.0
 #: How dear a list entry to be scanned is, in enumerated subsets.
-SCAN = 3.0
-#: Signatures a task gathers before it passes them on, and candidate sets compared in one task.
-GATHER, SETS = 2_000_000, 4_000
-#: Sets of one least set up to which pairs compared are remembered (64 MB).
-MEMO = 8192
+SCAN = 8.0
+#: Counters that tell frequent shingles from rare ones (one byte each is sent to all tasks), in blocks that are summed.
+COUNTERS, BLOCK = 1 << 21, 1 << 16
+#: Sets that one task compares with a first set, and sets of a chunk whose pairs one task compares.
+STAR, SETS = 4_000, 2_000
+#: Names a task remembers so as to file equal sets once.
+SEEN = 200_000
 #: Bits of the filter of candidate sets, at most (8 MB); what it lets through in vain is dropped by a join.
 FILTER_BITS = 1 << 26
 
@@ -82,243 +85,297 @@ def least_common(a: int, b: int) -> int:
     return -(-SHARE[0] * (a + b) // (SHARE[0] + SHARE[1]))
 
 
-@lru_cache(None)
-def levels(top: int) -> tuple[list[int], list[int]]:
-    """First sizes of the levels up to size ``top``, so that partners are one level apart at most; and their parts."""
-    first = [1]
-    while first[-1] <= top:
-        first.append(largest_partner(first[-1]) + 1)
-    parts = []
-    for nxt in first[1:]:
-        differ = 2 * (nxt - 1) * (SHARE[1] - SHARE[0]) // (SHARE[0] + SHARE[1])
-        n = differ + 1
-        while n > 1 and (n - 1) * math.exp(differ * math.log1p(-1 / (n - 1)) if n > 2 else -50) >= FREE:
-            n = max(int(n * 0.97), 1) if n > 60 else n - 1
-        parts.append(n if n <= differ else differ + 1 + (differ > 0) * max(1, differ // 14))
-    return first, parts
+def prefix_length(n: int) -> int:
+    """In how many lists a heavy set is filed: a linked set lacks fewer of its shingles, whatever their order."""
+    return n - smallest_partner(n) + 1
 
 
-def level_of(n: int, first: list[int]) -> int:
-    return int(np.searchsorted(first, n, side="right")) - 1
+def subsets(n: int) -> list[tuple[int, int]]:
+    """Of a light set: the larger size of a pair, and the size of the subsets that are enumerated for it."""
+    return [(b, k) for b in range(n, largest_partner(n) + 1) if (k := least_common(smallest_partner(b), b)) <= n]
 
 
 @lru_cache(None)
 def light_bound() -> int:
     """The largest size up to which enumerating subsets is no dearer than scanning lists."""
     n = 1
-    while True:
-        first, parts = levels(4 * n + 8)
-        at = level_of(n, first)
-        if sum(math.comb(n, least_common(smallest_partner(b), b)) for b in range(n, largest_partner(n) + 1)) > SCAN * (parts[at] + parts[at + 1]):
-            return n - 1
+    while sum(math.comb(n, k) for _, k in subsets(n)) <= SCAN * prefix_length(n):
         n += 1
+    return n - 1
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """What a set can be met by: sets that link share one of these hashes."""
+def signatures(s: np.ndarray, rarity: np.ndarray | None = None) -> np.ndarray:
+    """The lists a set is filed in: sets that link share one of these hashes. ``rarity``: a level for each residue of
+    hashes, the lower the rarer."""
     n, out, light = len(s), [], light_bound()
     mixed = mix(s ^ np.uint64(0xE7037ED1A0B428DB))
     with np.errstate(over="ignore"):
         if n <= largest_partner(light):  # the smaller one of a pair is light
-            for b in range(n, largest_partner(n) + 1) if n <= light else (n,):
-                size = least_common(smallest_partner(b), b)
-                if size <= n:
-                    tag = np.uint64(b * 2)
-                    out.append(mix(np.array([mixed[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), size)], np.uint64) * np.uint64(0x9FB21C651E98DF25) + tag))
+            for b, k in subsets(n) if n <= light else [x for x in subsets(n) if x[0] == n]:
+                out.append(mix(np.array([mixed[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), k)], np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(b)))
         if n > light:  # both are heavy
-            first, parts = levels(1 << (2 * n).bit_length())
-            at = level_of(n, first)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
-            for k in (at, at + 1):
-                if largest_partner(first[k + 1]) <= light:
-                    continue
-                p = parts[k]
-                edges = (np.arange(p + 1, dtype=np.float64) * (2.0**64 / p))[1:-1].astype(np.uint64)
-                cut = np.concatenate([[0], np.searchsorted(s, edges), [n]])
-                sig = mix((sums[cut[1:]] - sums[cut[:-1]]) * np.uint64(0x9FB21C651E98DF25) + (np.uint64(k) << np.uint64(32)) + np.arange(p, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-                differ = 2 * (first[k + 1] - 1) * (SHARE[1] - SHARE[0]) // (SHARE[0] + SHARE[1])
-                full = cut[1:] > cut[:-1]
-                # Empty parts tell nothing, unless they might be all that a pair has in common.
-                out.append(sig[full] if p > differ and (~full).sum() < p - differ or p <= differ else sig)
+            first = np.arange(n) if rarity is None else np.argsort(rarity[(s & np.uint64(len(rarity) - 1)).astype(np.int64)], kind="stable")
+            out.append(mixed[first[: prefix_length(n)]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def links_of_groups(names: np.ndarray, sets: list[np.ndarray], batches_: list[list[np.ndarray]]) -> np.ndarray:
-    """Of each set, the smallest of ``names`` in its component; links are sought within groups (numbers of sets). A
-    pair that was compared isn't again in the other groups of a batch."""
-    if not len(sets):
-        return names.copy()
-    size, comp = np.array([len(s) for s in sets]), np.arange(len(sets))
-    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(int(dense.max()) + 1, np.uint8)
-    dense = np.split(dense.astype(np.int32), np.cumsum(size)[:-1])
-    for groups in batches_:
-        own = np.unique(np.concatenate(groups))
-        done = np.zeros((len(own), len(own)), bool) if len(own) <= MEMO else None
-        for members in sorted(groups, key=len):
-            place = np.searchsorted(own, members)
-            for k, i in enumerate(members[:-1].tolist()):
-                rest, n = members[k + 1 :], size[i]
-                near = (comp[rest] != comp[i]) & (SHARE[1] * np.minimum(n, size[rest]) >= SHARE[0] * np.maximum(n, size[rest]))
-                if done is not None:
-                    near &= ~done[place[k], place[k + 1 :]]
-                    done[place[k], place[k + 1 :]] |= near
-                others = rest[near]
-                if not len(others):
-                    if (comp[rest] == comp[i]).all():
-                        break  # all that is left is one component, and compared with what came before
+def count_common(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each of ``sets`` has in common with ``one``."""
+    flat = np.concatenate(sets)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.add.reduceat(hit, np.cumsum([0] + [len(s) for s in sets[:-1]]), dtype=np.int64)
+
+
+def are_linked(common: np.ndarray, a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
+    return SHARE[1] * common >= SHARE[0] * (a + b - common)
+
+
+def links_of_lists(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, lists: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join what is still apart: pairs of a list (numbers of sets) whose components, to begin with ``root``,
+    differ. Where ``side`` has two values, only pairs of both. A pair is compared once, whatever lists hold it."""
+    size = np.array([len(s) for s in sets])
+    _, comp = np.unique(root, return_inverse=True)
+    crossing, done, found = len(np.unique(side)) > 1, {}, []
+    for members in sorted(lists, key=len):
+        for at, i in enumerate(members[:-1].tolist()):
+            rest = members[at + 1 :]
+            low, high = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
+            near = (comp[rest] != comp[i]) & (SHARE[1] * low >= SHARE[0] * high)
+            if crossing:
+                near &= side[rest] != side[i]
+            others = rest[near]
+            if len(others) and i in done:
+                others = others[~done[i][others]]
+            if not len(others):
+                continue
+            done.setdefault(i, np.zeros(len(sets), bool))[others] = True
+            for b in range(0, len(others), 64):
+                part = others[b : b + 64]
+                part = part[comp[part] != comp[i]]
+                if not len(part):
                     continue
-                mark[dense[i]] = 1
-                for at in range(0, len(others), 512):
-                    part = others[at : at + 512]
-                    both = mark[np.concatenate([dense[j] for j in part.tolist()])]
-                    common = np.add.reduceat(both, np.concatenate([[0], np.cumsum(size[part])[:-1]]), dtype=np.int64)
-                    for j in part[SHARE[1] * common >= SHARE[0] * (n + size[part] - common)].tolist():
-                        if comp[j] != comp[i]:
-                            comp[comp == comp[j]] = comp[i]
-                mark[dense[i]] = 0
-    least = names.copy()
-    np.minimum.at(least, comp, names)
-    return least[comp]
-
-
-def near_documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with n_shingles and component_id, after the columns of ``keep``.
+                common = count_common(sets[i], [sets[j] for j in part.tolist()])
+                for j in part[are_linked(common, size[i], size[part])].tolist():
+                    if comp[j] != comp[i]:
+                        found.append((i, j))
+                        comp[comp == comp[j]] = comp[i]
+    return found
 
-    component_id is the smallest doc_id that links reach from the row. Null and blank texts have no shingles and link
-    with nothing. Rows of one doc_id are rows of their own. A row with a null doc_id is not linked with anything, and
-    its component_id is null. An empty table gives no rows. Equal sets are one node, however many rows have them.
-    """
-    spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct("doc_id", *keep).alias("row"))
-    spread = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
 
-    # 1. Signatures, gathered by task and sent as few large rows to parts of hash space.
-    def sign(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sigs, held = [], [], 0
-
-        def send() -> pa.RecordBatch:
-            all_ = np.concatenate(sigs)
-            of = np.repeat(np.arange(len(names), dtype=np.uint32), [len(s) for s in sigs])
-            part = (all_ % np.uint64(spread)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=spread))])
-            of, all_, rows = of[order], all_[order], []
-            name = np.array(names, np.int64)
-            for p in range(spread):
-                own = of[ends[p] : ends[p + 1]]
-                if len(own):
-                    who, count = np.unique(own, return_counts=True)
-                    rows.append((p, name[who].tobytes(), count.astype(np.uint32).tobytes(), all_[ends[p] : ends[p + 1]].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["p", "names", "counts", "sigs"]).cast(pa.schema([("p", pa.int32()), ("names", pa.binary()), ("counts", pa.binary()), ("sigs", pa.binary())]))
+def _count(texts: DataFrame) -> np.ndarray:
+    """How rare shingles are: for each residue of hashes the logarithm of how many sets have one, in quarters of a
+    doubling. Each task counts its own; counts come together block by block, so that the driver gets one row a block."""
 
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(COUNTERS, np.uint32), set()
         for batch in found:
-            texts = batch.column(0).to_pylist()
-            for a, b in batches(texts):
-                for s in shingle_sets(texts[a:b]):
-                    if len(s):
-                        names.append(set_name(s))
-                        sigs.append(signatures(s))
-                        held += len(sigs[-1])
-                if held >= GATHER:
-                    yield send()
-                    names, sigs, held = [], [], 0
-        if held:
-            yield send()
-
-    sent = slim.where("doc_id is not null").select("text").mapInArrow(sign, "p int, names binary, counts binary, sigs binary")
-
-    # 2. Lists of sets with equal signatures; a list that occurs again in the part is left out.
-    def lists(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = np.concatenate([np.repeat(np.frombuffer(a, np.int64), np.frombuffer(c, np.uint32)) for a, c in zip(pdf["names"], pdf["counts"], strict=True)])
-        sig = np.frombuffer(b"".join(pdf["sigs"]), np.uint64)
-        order = np.lexsort((name, sig))
-        name, sig = name[order], sig[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])  # copies of a set
-        name, sig = name[fresh], sig[fresh]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        n = np.diff(np.concatenate([first, [len(sig)]]))
-        with np.errstate(over="ignore"):
-            total = np.add.reduceat(mix(name.view(np.uint64)), first) + n.astype(np.uint64)
-        first, n, total = first[n > 1], n[n > 1], total[n > 1]
-        total, once = np.unique(total, return_index=True)
-        return pd.DataFrame({"list": total.view(np.int64), "least": name[first[once]], "members": [name[i : i + k].tobytes() for i, k in zip(first[once], n[once], strict=True)]})
-
-    listed = written(sent.groupBy("p").applyInPandas(lists, "list long, least long, members binary"), "lists")
-
-    # 3. Lists go to the task of their least set, and so do the sets they hold.
-    def star(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, own in slices(batch, 0):
+                for s in shingle_sets(own):
+                    if len(s) and (name := set_name(s)) not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(name)
+                        counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] += np.uint32(1)  # residues of one set meet seldom
+        parts = counts.reshape(-1, BLOCK)
+        some = np.flatnonzero(parts.any(1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([zlib.compress(parts[b].tobytes(), 1) for b in some.tolist()], pa.binary())], ["block", "counts"])
+
+    def add(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in order of their blocks: the sum of each."""
+        block, total = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.round(4 * np.log2(1.0 + total)).astype(np.uint8).tobytes()], pa.binary())], ["block", "level"])
         for batch in found:
-            pairs = [np.frombuffer(m, np.int64) for m in batch.column(0).to_pylist()]
-            if pairs:
-                b = np.unique(np.stack([np.repeat([m[0] for m in pairs], [len(m) for m in pairs]), np.concatenate(pairs)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(b[0]), pa.array(b[1])], ["least", "name"])
-
-    stars = written(listed.select("members").mapInArrow(star, "least long, name long").distinct(), "stars")
-    bins = max(1, math.ceil(stars.count() / SETS))
-    bin_of = F.pmod(F.xxhash64("least"), F.lit(bins)).cast("int")
-    needed = stars.select("name", bin_of.alias("bin")).distinct()
-    names = stars.select("name").distinct()
-    n_sets = names.count()
-
-    # 4. Names and sizes of all rows, and the sets that a filter of bounded size takes for candidates.
-    n_bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (n_sets * 64).bit_length()))
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b != block:
+                    if block is not None:
+                        yield row()
+                    block, total = b, np.zeros(BLOCK, np.uint64)
+                total += np.frombuffer(zlib.decompress(data.as_py()), np.uint32)
+        if block is not None:
+            yield row()
+
+    levels = texts.mapInArrow(run, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, level binary")
+    out = np.zeros(COUNTERS, np.uint8)
+    for r in levels.collect():  # COUNTERS bytes
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["level"], np.uint8)
+    return out
+
+
+def _lists(texts: DataFrame, rarity) -> DataFrame:
+    """sig, least and name: the lists of more than one set, each with the least name of the list."""
+
+    def sign(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, seen = rarity.value, set()
+        for batch in found:
+            for _, _, own in slices(batch, 0):
+                names, sigs = [], []
+                for s in shingle_sets(own):
+                    if len(s) and (name := set_name(s)) not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(name)
+                        names.append(name)
+                        sigs.append(signatures(s, levels))
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), [len(x) for x in sigs]))], ["sig", "name"])
+
+    def gather(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order: of a list nothing is held but its least name, and its only row so far."""
+        single, open_ = None, None  # (sig, name); (sig, least, last name) of the list that the last batch ended in
+        for batch in found:
+            sig, name = (np.asarray(c) for c in batch.columns)
+            if single is not None:
+                sig, name = np.concatenate([[single[0]], sig]), np.concatenate([[single[1]], name])
+            elif open_ is not None and len(sig) and sig[0] == open_[0]:
+                again = (sig == open_[0]) & (name == open_[2])
+                sig, name = sig[~again], name[~again]
+            if not len(sig):
+                continue
+            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])])
+            sig, name = sig[fresh], name[fresh]
+            first = np.concatenate([[True], sig[1:] != sig[:-1]])
+            begin = np.flatnonzero(first)
+            size = np.diff(np.concatenate([begin, [len(sig)]]))
+            least, many = np.repeat(name[begin], size), np.repeat(size > 1, size)
+            if open_ is not None:
+                on = sig == open_[0]
+                least[on], many[on] = open_[1], True
+            single, open_ = (None, (sig[-1], least[-1], name[-1])) if many[-1] else ((sig[-1], name[-1]), None)
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (sig, least, name)], ["sig", "least", "name"])
+
+    filed = texts.mapInArrow(sign, "sig long, name long").repartition("sig").sortWithinPartitions("sig", "name")
+    return written(filed.mapInArrow(gather, "sig long, least long, name long"), "lists")
+
+
+def _filter(names: DataFrame, n_names: int) -> tuple[int, np.ndarray]:
+    n_bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (n_names * 64).bit_length()))
     bit = names.select(F.shiftright(F.col("name").bitwiseAND(n_bits - 1), 6).alias("word"), F.expr("shiftleft(1L, cast(name & 63 as int))").alias("bit"))
-    filter_ = np.zeros(n_bits // 64, np.int64)
+    out = np.zeros(n_bits // 64, np.int64)
     for r in bit.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # one row for each word of the filter
-        filter_[r["word"]] = r["bits"]
+        out[r["word"]] = r["bits"]
+    return n_bits, out
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, star: int) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) that link. The rows of one a are split among tasks of ``star`` of them."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / star).alias("n"))
+    dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("salt"))
+    first = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("name", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "members")
+    others = dealt.join(sets.withColumnRenamed("name", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "members")
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, one = None, None
+        for batch in found:
+            a, role, b = (np.asarray(batch.column(c)) for c in range(3))
+            edges = np.concatenate([[0], np.flatnonzero((role[1:] == 0) | (a[1:] != a[:-1])) + 1, [len(a)]]) if len(a) else []
+            for f, e in zip(edges[:-1], edges[1:]):
+                if role[f] == 0:
+                    own, one, f = a[f], np.frombuffer(batch.column(3)[int(f)].as_py(), np.uint64), f + 1
+                for at in range(int(f), int(e), 256):
+                    part = slice(at, min(at + 256, int(e)))
+                    held = [np.frombuffer(x, np.uint64) for x in batch.column(3).slice(at, part.stop - at).to_pylist()]
+                    on = are_linked(count_common(one, held), len(one), np.array([len(x) for x in held]))
+                    if on.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(on.sum()), own, np.int64)), pa.array(b[part][on])], ["a", "b"])
+
+    return first.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "role", "b", "members").mapInArrow(run, "a long, b long")
+
+
+def _rest(listed: DataFrame, roots: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
+    """Links (a, b) between what is still apart in a list, but for its first set, which was compared with all others."""
+    named = listed.where("name <> least").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    open_ = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
+    rest = written(named.join(open_, "sig"), "rest")
+    # Lists of one least set are compared together; where they hold many sets, by pairs of chunks.
+    sizes = rest.groupBy("least").agg(F.count_distinct("name").alias("n")).select("least", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"), F.col("n"))
+    bins = max(1, math.ceil((sizes.agg(F.sum("n")).first()[0] or 0) / chunk))
+    dealt = rest.join(sizes, "least").withColumn("mine", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("bin", F.when(F.col("chunks") > 1, F.col("least")).otherwise(F.pmod(F.xxhash64("least"), F.lit(bins))))
+    dealt = dealt.select("bin", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "sig", "name", "root", "mine")
+    left = dealt.select("bin", "lo", "hi", "name", "root", "mine").distinct().join(sets, "name")
+    right = dealt.groupBy(F.col("bin").alias("to"), F.col("lo").alias("a"), F.col("hi").alias("b"), "sig").agg(F.collect_list("name").alias("names")).where("size(names) > 1")  # two chunks at most
+
+    def compare(own: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        names = own["name"].to_numpy(np.int64)
+        order = np.argsort(names)
+        names, held = names[order], own["members"].to_numpy()
+        members = [np.frombuffer(held[i], np.uint64) for i in order]
+        groups = [np.searchsorted(names, np.sort(np.asarray(x, np.int64))) for x in lists["names"]]
+        found = links_of_lists(members, own["root"].to_numpy(np.int64)[order], own["mine"].to_numpy()[order], groups) if len(names) and groups else []
+        return pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]}, dtype=np.int64)
+
+    return left.groupBy("bin", "lo", "hi").cogroup(right.groupBy("to", "a", "b")).applyInPandas(compare, "a long, b long")
+
+
+def _named(docs: DataFrame, row: Column, star: int = STAR, chunk: int = SETS) -> tuple[DataFrame, DataFrame]:
+    """All rows of ``docs`` with ``row``, id, doc_id, n_shingles and name; and of each name its component_id."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
+    texts = slim.where("doc_id is not null and text is not null").select("text")
+    rarity = spark.sparkContext.broadcast(_count(texts))
+    listed = _lists(texts, rarity)
+    names = listed.select("name").distinct()
+    n_bits, filter_ = _filter(names, names.count())
     shared = spark.sparkContext.broadcast(filter_)
 
+    # Names and sizes of all rows, and the sets that the filter takes for candidates.
     def name_rows(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, at = shared.value, TaskContext.get().partitionId() << 33
         for batch in found:
-            texts = batch.column(1).to_pylist()
-            for a, b in batches(texts):
+            for a, b, own in slices(batch, 1):
                 names, sizes, sets = [], [], []
-                for s in shingle_sets(texts[a:b]):
+                for s in shingle_sets(own):
                     name = set_name(s) if len(s) else None
                     sizes.append(len(s))
                     names.append(name)
                     sets.append(s.tobytes() if len(s) and int(known[(name & (n_bits - 1)) >> 6]) >> (name & 63) & 1 else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["row", "n_shingles", "name", "members"])
-
-    schema = slim.select("row").schema.add("n_shingles", T.LongType()).add("name", T.LongType()).add("members", T.BinaryType())
-    rows = written(slim.select("row", "text").mapInArrow(name_rows, schema), "sets")
-
-    # 5. The exact comparison.
-    sets = rows.where("members is not null and row.doc_id is not null").groupBy("name").agg(F.first("members").alias("members")).join(needed, "name")
-    groups = listed.dropDuplicates(["list"]).select(bin_of.alias("to"), "least", "members")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.arange(at, at + b - a)), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["row", "doc_id", "id", "n_shingles", "name", "members"])
+                at += b - a
+
+    schema = slim.select("row", "doc_id").schema.add("id", T.LongType()).add("n_shingles", T.LongType()).add("name", T.LongType()).add("members", T.BinaryType())
+    rows = written(slim.select("row", "text", "doc_id").mapInArrow(name_rows, schema), "sets")
+
+    sets = rows.where("members is not null and doc_id is not null").groupBy("name").agg(F.first("members").alias("members"))
+    sets = written(sets.join(names, "name"), "candidates")
+    # Every set meets the first of its lists: one of them before the others, which that may settle.
+    pairs = listed.where("name <> least").groupBy("name", "least").agg(F.lit(1).alias("_")).select(F.col("least").alias("a"), F.col("name").alias("b"))
+    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = written(_compared(one, sets, star), "links")
+    joined = links.select(F.col("b").alias("node"), F.col("a").alias("top"))
+    label = lambda df, c: df.join(joined.select(F.col("node").alias(c), F.col("top").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+    others = label(label(pairs.join(one, ["a", "b"], "left_anti"), "a"), "b").where("_a <> _b").select("a", "b")
+    links = written(links.union(_compared(others, sets, star)), "links")
+    roots = components(links)
+    links = links.union(_rest(listed, roots, sets, chunk))
+    tops = components(links).select(F.col("node").alias("name"), F.col("root").alias("top"))
+
+    # The smallest doc_id of each component.
+    least = rows.where("name is not null and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("least")).join(tops, "name", "left").withColumn("top", F.coalesce("top", "name"))
+    least = written(least, "components")
+    by_name = least.join(least.groupBy("top").agg(F.min("least").alias("component_id")), "top").select("name", "component_id")
+    return rows.select("row", "id", "doc_id", "n_shingles", "name"), by_name
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = left["name"].to_numpy(np.int64)
-        order = np.argsort(names)
-        names = names[order]
-        held = left["members"].to_numpy()
-        members = [np.frombuffer(held[i], np.uint64) for i in order]
-        by_least: dict[int, list[np.ndarray]] = {}
-        for least, m in zip(right["least"], right["members"], strict=True):
-            by_least.setdefault(least, []).append(np.searchsorted(names, np.frombuffer(m, np.int64)))
-        top = links_of_groups(names, members, list(by_least.values()))
-        return pd.DataFrame({"name": names, "top": top})[names != top]
 
-    links = sets.groupBy("bin").cogroup(groups.groupBy("to")).applyInPandas(compare, "name long, top long")
-    tops = components(links.select(F.col("name").alias("a"), F.col("top").alias("b"))).select(F.col("node").alias("name"), F.col("root").alias("top"))
+def near_documents(docs: DataFrame, keep: tuple[str, ...] = (), star: int = STAR, chunk: int = SETS) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with n_shingles and component_id, after the columns of ``keep``.
 
-    # 6. The smallest doc_id of each component.
-    least = rows.where("name is not null and row.doc_id is not null").groupBy("name").agg(F.min("row.doc_id").alias("least")).join(tops, "name", "left").withColumn("top", F.coalesce("top", "name"))
-    least = written(least, "components")
-    ids = least.groupBy("top").agg(F.min("least").alias("component_id"))
-    by_name = least.join(ids, "top").select("name", "component_id")
-    linked = rows.where("name is not null and row.doc_id is not null").select("row", "n_shingles", "name").join(by_name, "name").select("row.*", "n_shingles", F.col("component_id"))
-    alone = rows.where("name is null or row.doc_id is null").select("row.*", "n_shingles", F.col("row.doc_id").cast("long").alias("component_id"))
+    component_id is the smallest doc_id that links reach from the row. Null and blank texts have no shingles and link
+    with nothing. Rows of one doc_id are rows of their own. A row with a null doc_id is not linked with anything, and
+    its component_id is null. An empty table gives no rows. Equal sets are one node, however many rows have them.
+    Columns of ``keep`` may have any names, those of the result but for doc_id too.
+    """
+    rows, by_name = _named(docs, F.struct("doc_id", *keep), star, chunk)
+    linked = rows.where("name is not null and doc_id is not null").join(by_name, "name").select("row.*", "n_shingles", "component_id")
+    alone = rows.where("name is null or doc_id is null").select("row.*", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay when one document of each component does: that of the smallest
-    doc_id. Rows with a null doc_id stay. Of rows of one doc_id, one stays, unless they have no shingles."""
-    own = [c for c in docs.columns if c != "doc_id"]
-    found = near_documents(docs, tuple(own)).where("doc_id is null or doc_id = component_id")
-    single = found.where("doc_id is not null and n_shingles > 0").dropDuplicates(["doc_id"])
-    return single.select(*docs.columns).union(found.where("doc_id is null or n_shingles = 0").select(*docs.columns))
+    """The rows of ``docs``, all columns whatever their names, that stay when one document of each component does: that
+    of the smallest doc_id. Rows with a null doc_id stay, and so do those without words. Of several rows of one doc_id
+    with words, one stays: the first of its partition with the least number. An empty table gives no rows."""
+    rows, by_name = _named(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    own = rows.where("name is not null and doc_id is not null").select("id", "doc_id", "name").join(by_name, "name").where("doc_id = component_id")
+    kept = own.groupBy("doc_id").agg(F.min("id").alias("id")).select("id")
+    linked = rows.where("name is not null and doc_id is not null").join(kept, "id", "left_semi")
+    return linked.select("row.*").union(rows.where("name is null or doc_id is null").select("row.*"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import TokenCache, batches
+from .common import TokenCache, slices
 
 #: Windows of tails that are packed at a time.
 BATCH_WINDOWS = 48
@@ -134,10 +134,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in found:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches(texts):
+            for a, b, texts in slices(batch, 1):
                 pieces = []
-                for i, got in zip(ids[a:b], cache.encode(texts[a:b]), strict=True):
+                for i, got in zip(batch.column(0).slice(a, b - a).to_pylist(), cache.encode(texts), strict=True):
                     pieces += packer.add((i, got + end), len(got) // 4 + 1)
                 if pieces:
                     yield table(pieces)

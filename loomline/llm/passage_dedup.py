@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, batches, mix, remove, written
+from .common import Words, mix, remove, slices, written
 from .passages import WINDOW, earlier_windows, region_names, regions, words_kept
 
 #: Regions of a shard, about.
@@ -44,9 +44,9 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool
     # 1. The distinct regions of each document.
     def find(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            ids, marks, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in batches(texts):
-                words, cols = Words(texts[a:b]), ([], [], [], [])
+            ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b, texts in slices(batch, 2):
+                words, cols = Words(texts), ([], [], [], [])
                 for i in range(a, b):
                     h = words.hashes[words.at[i - a] : words.at[i - a + 1]]
                     if len(h) >= WINDOW:
@@ -85,9 +85,9 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool
     def take(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot_ = sent.value
         for batch in found:
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in batches(texts):
-                words, out = Words(texts[a:b]), []
+            ids = batch.column(0).to_pylist()
+            for a, b, texts in slices(batch, 1):
+                words, out = Words(texts), []
                 for i in range(a, b):
                     h = words.hashes[words.at[i - a] : words.at[i - a + 1]]
                     if len(h) < WINDOW:

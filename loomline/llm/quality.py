@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, batches, remainder
+from .common import Words, remainder, slices
 
 #: Labelled documents the field is fitted on, at most; which ones is drawn by a hash.
 SAMPLE = 6_000
@@ -177,10 +177,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            ids, texts, marks = (c.to_pylist() for c in batch.columns)
-            for a, b in batches(texts):
-                x, _, at = line_features(texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(marks[a:b], pa.int32()), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "quality", "x"])
+            for a, b, texts in slices(batch, 1):
+                x, _, at = line_features(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "quality", "x"])
 
     rows = sorted(marked.mapInArrow(run, "doc_id long, quality int, x binary").collect(), key=lambda r: (r[0], r[1], r[2]))
     if not rows:
@@ -199,9 +198,8 @@ def score_quality(docs: DataFrame, field: Field, folds: int = 3, held_out: int =
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            texts = batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                score = document_scores(field, texts[a:b])
+            for a, b, texts in slices(batch, 1):
+                score = document_scores(field, texts)
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], ["row", "held_out", "score", "predicted"])
 
     return slim.mapInArrow(run, schema).select("row.*", "held_out", "score", "predicted")

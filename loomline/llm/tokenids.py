@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TokenCache, batches, new_path
+from .common import TokenCache, new_path, slices
 
 STEP = 512
 #: Ids after which a container is closed; a document is never split.
@@ -121,9 +121,8 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([base], pa.int64()), pa.array([n], pa.int64()), pa.array([code.to_bytes()], pa.binary())], ["part", "seq", "start", "n_ids", "data"])
 
         for batch in found:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                for i, got in zip(ids[a:b], cache.encode(texts[a:b]), strict=True):
+            for a, b, texts in slices(batch, 1):
+                for i, got in zip(batch.column(0).slice(a, b - a).to_pylist(), cache.encode(texts), strict=True):
                     names.append(i)
                     data.append(got + end)
                     n += len(got) // 4 + 1

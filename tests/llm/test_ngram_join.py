@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from loomline.llm import ngram_join
 
@@ -73,6 +74,7 @@ def test_components(spark, odd, empty):
 
 def test_signatures_of_linked_sets_meet():
     r = np.random.default_rng(3)
+    rarity = r.integers(0, 5, 64).astype(np.uint8)
     for n in [*range(1, 60), 100, 150, 333, 700, 3000]:
         for _ in range(20):
             x = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
@@ -80,12 +82,38 @@ def test_signatures_of_linked_sets_meet():
             add = r.integers(0, max(0, (len(x) - out) * 5 // 4 - len(x)) + 1) if (len(x) - out) * 5 // 4 > len(x) else 0
             y = np.unique(np.concatenate([r.permutation(x)[out:], r.integers(0, 2**64, add, dtype=np.uint64)]))
             if len(y) and 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
-                assert len(np.intersect1d(ngram_join.signatures(x), ngram_join.signatures(y))), (n, out, add)
+                for levels in (None, rarity):
+                    assert len(np.intersect1d(ngram_join.signatures(x, levels), ngram_join.signatures(y, levels))), (n, out, add)
 
 
 def test_plan_of_sizes():
-    first, parts = ngram_join.levels(1 << 16)
-    for n in range(1, 5000):
-        a, b = (ngram_join.level_of(m, first) for m in (n, ngram_join.largest_partner(n)))
-        assert b - a <= 1
-    assert 4 <= ngram_join.light_bound() <= 12 and parts[0] == 1
+    assert 4 <= ngram_join.light_bound() <= 16
+    for n in range(1, 400):
+        assert ngram_join.prefix_length(n) == n - -(-4 * n // 5) + 1
+        for b, k in ngram_join.subsets(n):  # what a set of b and one of n that link have in common at least
+            assert all(5 * c < 4 * (n + b - c) for c in range(k)) or k == ngram_join.least_common(ngram_join.smallest_partner(b), b)
+
+
+@pytest.mark.parametrize("star,chunk", [(3, 5), (4000, 2000)])
+def test_a_family_that_no_single_set_links(spark, star, chunk):
+    """A chain of texts, each near the next but not to those further on, and many that share a passage only."""
+    r = random.Random(8)
+    base = [f"c{i}" for i in range(400)]
+    texts = [" ".join(base[12 * i : 12 * i + 160]) for i in range(20)]
+    shared = [f"s{i}" for i in range(90)]
+    texts += [" ".join(shared + [f"u{j}x{i}" for i in range(r.choice([8, 9, 10, 14]))]) for j in range(60)]
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.near_documents(df, star=star, chunk=chunk).collect()), key=str)
+    want = brute(rows)
+    assert found == want and len({w[2] for w in want}) < 75
+
+
+def test_clashing_names(spark, empty):
+    names = ["doc_id", "text", "n_shingles", "component_id", "name", "row", "id", "members", "least", "a.b"]
+    rows = [(i, "one two three four five six " + str(i // 2), *range(8)) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in names[2:]))
+    left = ngram_join.first_of_each(df)
+    assert left.columns == names and sorted(map(tuple, left.collect())) == rows[::2]
+    assert ngram_join.first_of_each(df.limit(0)).count() == 0
