@@ -5,9 +5,11 @@ size that only the larger size of a pair fixes; linked sets share one. Heavy set
 their rarest shingles: of two linked sets, each has so few shingles that the other lacks that some list holds both. The
 lists are scanned. The boundary is where enumeration gets dearer than scanning.
 
-Sets that share a list are candidates. Each is compared with the first set of its list; linked ones become one
-component, and what is still apart in a list is compared pair by pair, in chunks. An exact count of common shingles
-decides every link; the order of shingles by rarity bears on the length of lists, never on what is found.
+All sets of lists with one first set are a group. A bitmap of parities bounds from below in how many shingles two sets
+differ; what no other set of its group can link with, by sizes and bitmaps, is out. Each set of a group is compared with
+its first; linked ones become one component, and what is still apart in a group is compared pair by pair, in chunks. An
+exact count of common shingles decides every link. The order of shingles by rarity bears on the length of lists, never
+on what is found, and bitmaps rule out only what can't link.
 """
 
 from __future__ import annotations
@@ -19,14 +21,13 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, mix, remove, slices, written
+from .common import Words, mix, slices, written
 from .connected import components
 
 SHINGLE = 5
@@ -42,6 +43,8 @@ STAR, SETS = 4_000, 2_000
 SEEN = 200_000
 #: Bits of the filter of candidate sets, at most (8 MB); what it lets through in vain is dropped by a join.
 FILTER_BITS = 1 << 26
+#: Bits of a set's bitmap.
+PARITIES = 1024
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -130,55 +133,85 @@ def are_linked(common: np.ndarray, a: int | np.ndarray, b: int | np.ndarray) ->
     return SHARE[1] * common >= SHARE[0] * (a + b - common)
 
 
-def links_of_lists(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, lists: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join what is still apart: pairs of a list (numbers of sets) whose components, to begin with ``root``,
-    differ. Where ``side`` has two values, only pairs of both. A pair is compared once, whatever lists hold it."""
-    size = np.array([len(s) for s in sets])
+def parities(s: np.ndarray) -> np.ndarray:
+    """Of each residue of hashes, whether the set has an odd number of them: in as many bits as two such bitmaps differ,
+    their sets differ in at least as many members."""
+    return np.packbits(np.bincount((s & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1)
+
+
+def can_link(map_a: np.ndarray, size_a: int, maps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    low, high = np.minimum(size_a, sizes), np.maximum(size_a, sizes)
+    out = SHARE[1] * low >= SHARE[0] * high
+    differ = np.bitwise_count(maps[out] ^ map_a).sum(1, dtype=np.int64)
+    out[out] = (SHARE[0] + SHARE[1]) * differ <= (SHARE[1] - SHARE[0]) * (size_a + sizes[out])
+    return out
+
+
+def links_of_group(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what is still apart: pairs of sets whose components, to begin with ``root``, differ. Where
+    ``side`` has two values, only pairs of both."""
+    size, maps = np.array([len(s) for s in sets]), np.stack([parities(s) for s in sets]).view(np.uint64)
     _, comp = np.unique(root, return_inverse=True)
-    crossing, done, found = len(np.unique(side)) > 1, {}, []
-    for members in sorted(lists, key=len):
-        for at, i in enumerate(members[:-1].tolist()):
-            rest = members[at + 1 :]
-            low, high = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
-            near = (comp[rest] != comp[i]) & (SHARE[1] * low >= SHARE[0] * high)
-            if crossing:
-                near &= side[rest] != side[i]
-            others = rest[near]
-            if len(others) and i in done:
-                others = others[~done[i][others]]
-            if not len(others):
+    crossing, found = len(np.unique(side)) > 1, []
+    for i in range(len(sets) - 1):
+        near = comp[i + 1 :] != comp[i]
+        if crossing:
+            near &= side[i + 1 :] != side[i]
+        rest = np.flatnonzero(near) + i + 1
+        if len(rest):
+            rest = rest[can_link(maps[i], size[i], maps[rest], size[rest])]
+        for b in range(0, len(rest), 64):
+            part = rest[b : b + 64]
+            part = part[comp[part] != comp[i]]
+            if not len(part):
                 continue
-            done.setdefault(i, np.zeros(len(sets), bool))[others] = True
-            for b in range(0, len(others), 64):
-                part = others[b : b + 64]
-                part = part[comp[part] != comp[i]]
-                if not len(part):
-                    continue
-                common = count_common(sets[i], [sets[j] for j in part.tolist()])
-                for j in part[are_linked(common, size[i], size[part])].tolist():
-                    if comp[j] != comp[i]:
-                        found.append((i, j))
-                        comp[comp == comp[j]] = comp[i]
+            for j in part[are_linked(count_common(sets[i], [sets[j] for j in part.tolist()]), size[i], size[part])].tolist():
+                if comp[j] != comp[i]:
+                    found.append((i, j))
+                    comp[comp == comp[j]] = comp[i]
     return found
 
 
-def _count(texts: DataFrame) -> np.ndarray:
-    """How rare shingles are: for each residue of hashes the logarithm of how many sets have one, in quarters of a
-    doubling. Each task counts its own; counts come together block by block, so that the driver gets one row a block."""
+def _read(docs: DataFrame, row: Column) -> DataFrame:
+    """All rows of ``docs``, and after them each task's counts of shingles: how many of its sets have one, for each
+    residue of hashes. A set counts once where a task remembers it."""
+    slim = docs.select(row.alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    fields = [("id", T.LongType()), ("n_shingles", T.LongType()), ("name", T.LongType()), ("map", T.BinaryType()), ("block", T.IntegerType()), ("counts", T.BinaryType())]
+    schema = T.StructType().add("row", slim.schema["row"].dataType).add("doc_id", T.LongType())
+    for name, kind in fields:
+        schema = schema.add(name, kind)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(COUNTERS, np.uint32), set()
+        counts, seen, at, kind = np.zeros(COUNTERS, np.uint32), set(), TaskContext.get().partitionId() << 33, None
         for batch in found:
-            for _, _, own in slices(batch, 0):
-                for s in shingle_sets(own):
-                    if len(s) and (name := set_name(s)) not in seen:
+            kind = batch.column(0).type
+            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            for a, b, own in slices(batch, 1):
+                names, sizes, maps = [], [], []
+                for i, s in enumerate(shingle_sets(own)):
+                    name = set_name(s) if len(s) else None
+                    sizes.append(len(s))
+                    names.append(name)
+                    maps.append(parities(s).tobytes() if len(s) else None)
+                    if len(s) and known[a + i] and name not in seen:
                         if len(seen) < SEEN:
                             seen.add(name)
                         counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)] += np.uint32(1)  # residues of one set meet seldom
+                n = b - a
+                cols = [batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(np.arange(at, at + n)), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
+                at += n
         parts = counts.reshape(-1, BLOCK)
-        some = np.flatnonzero(parts.any(1))
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([zlib.compress(parts[b].tobytes(), 1) for b in some.tolist()], pa.binary())], ["block", "counts"])
+        for b in np.flatnonzero(parts.any(1)).tolist():
+            cols = [pa.nulls(1, kind), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([b], pa.int32()), pa.array([zlib.compress(parts[b].tobytes(), 1)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    return written(slim.mapInArrow(run, schema), "shingled")
+
+
+def _rarity(counts: DataFrame) -> np.ndarray:
+    """How rare shingles are: for each residue of hashes the logarithm of how many sets have one, in quarters of a
+    doubling. Counts come together block by block, so that the driver gets one row a block."""
 
     def add(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in order of their blocks: the sum of each."""
@@ -194,15 +227,15 @@ def _count(texts: DataFrame) -> np.ndarray:
         if block is not None:
             yield row()
 
-    levels = texts.mapInArrow(run, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, level binary")
+    levels = counts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, level binary")
     out = np.zeros(COUNTERS, np.uint8)
     for r in levels.collect():  # COUNTERS bytes
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["level"], np.uint8)
     return out
 
 
-def _lists(texts: DataFrame, rarity) -> DataFrame:
-    """sig, least and name: the lists of more than one set, each with the least name of the list."""
+def _groups(texts: DataFrame, rarity) -> DataFrame:
+    """least and name: the sets that share a list with one of a smaller name, the least of the list."""
 
     def sign(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = rarity.value, set()
@@ -219,32 +252,73 @@ def _lists(texts: DataFrame, rarity) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), [len(x) for x in sigs]))], ["sig", "name"])
 
     def gather(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order: of a list nothing is held but its least name, and its only row so far."""
-        single, open_ = None, None  # (sig, name); (sig, least, last name) of the list that the last batch ended in
+        """Rows come in order, so of the list that a batch ends in nothing is held but its least name."""
+        last, first = None, None
         for batch in found:
             sig, name = (np.asarray(c) for c in batch.columns)
-            if single is not None:
-                sig, name = np.concatenate([[single[0]], sig]), np.concatenate([[single[1]], name])
-            elif open_ is not None and len(sig) and sig[0] == open_[0]:
-                again = (sig == open_[0]) & (name == open_[2])
-                sig, name = sig[~again], name[~again]
             if not len(sig):
                 continue
-            fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])])
-            sig, name = sig[fresh], name[fresh]
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            begin = np.flatnonzero(first)
-            size = np.diff(np.concatenate([begin, [len(sig)]]))
-            least, many = np.repeat(name[begin], size), np.repeat(size > 1, size)
-            if open_ is not None:
-                on = sig == open_[0]
-                least[on], many[on] = open_[1], True
-            single, open_ = (None, (sig[-1], least[-1], name[-1])) if many[-1] else ((sig[-1], name[-1]), None)
-            if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (sig, least, name)], ["sig", "least", "name"])
+            begin = np.concatenate([[True], sig[1:] != sig[:-1]])
+            least = np.repeat(name[begin], np.diff(np.concatenate([np.flatnonzero(begin), [len(sig)]])))
+            if sig[0] == last:
+                least[sig == last] = first
+            last, first = sig[-1], least[-1]
+            pairs = np.stack([least, name])[:, least != name]
+            if pairs.shape[1]:
+                pairs = pairs[:, np.lexsort(pairs)]
+                pairs = pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(0)])]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["least", "name"])
 
     filed = texts.mapInArrow(sign, "sig long, name long").repartition("sig").sortWithinPartitions("sig", "name")
-    return written(filed.mapInArrow(gather, "sig long, least long, name long"), "lists")
+    return written(filed.mapInArrow(gather, "least long, name long").distinct(), "groups")
+
+
+def _in_chunks(groups: DataFrame, chunk: int) -> DataFrame:
+    """``groups`` (grp, name) dealt to tasks: lo, hi and mine are 0 but for groups of more than ``chunk`` rows, whose
+    pairs of chunks each get a task."""
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    dealt = groups.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("chunks", "other")
+
+
+def _by_task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each grp, lo and hi, which come in order; of a single row none."""
+    held: pa.Table | None = None
+    for batch in found:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None or not len(held) else pa.concat_tables([held, t]).combine_chunks()
+        key = np.stack([held[c].to_numpy() for c in ("grp", "lo", "hi")])
+        at = 0
+        for c in (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist():
+            if c - at > 1:
+                yield held.slice(at, c - at)
+            at = c
+        held = held.slice(at)
+    if held is not None and len(held) > 1:
+        yield held
+
+
+def _near(groups: DataFrame, maps: DataFrame, chunk: int) -> DataFrame:
+    """Those rows of ``groups`` (grp, name) that sizes and bitmaps let link with another of their group."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_task(found):
+            size, side = t["n_shingles"].to_numpy(), t["mine"].to_numpy()
+            own, crossing = np.frombuffer(b"".join(t["map"].to_pylist()), np.uint64).reshape(len(t), -1), len(np.unique(side)) > 1
+            on = np.zeros(len(t), bool)
+            for i in range(len(t) - 1):
+                fits = can_link(own[i], size[i], own[i + 1 :], size[i + 1 :])
+                if crossing:
+                    fits &= side[i + 1 :] != side[i]
+                if fits.any():
+                    on[i] = True
+                    on[i + 1 :] |= fits
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[on]) for c in ("grp", "name")], ["grp", "name"])
+
+    dealt = _in_chunks(groups, chunk).join(maps, "name").select("grp", "lo", "hi", "mine", "name", "n_shingles", "map")
+    return dealt.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(run, "grp long, name long").distinct()
 
 
 def _filter(names: DataFrame, n_names: int) -> tuple[int, np.ndarray]:
@@ -256,6 +330,29 @@ def _filter(names: DataFrame, n_names: int) -> tuple[int, np.ndarray]:
     return n_bits, out
 
 
+def _sets(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """name and members of the sets that have one of ``names``, once each."""
+    n_bits, filter_ = _filter(names, names.count())
+    shared = texts.sparkSession.sparkContext.broadcast(filter_)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = shared.value, set()
+        for batch in found:
+            for _, _, own in slices(batch, 0):
+                rows = {}
+                for s in shingle_sets(own):
+                    name = set_name(s) if len(s) else 0
+                    if len(s) and int(known[(name & (n_bits - 1)) >> 6]) >> (name & 63) & 1 and name not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(name)
+                        rows[name] = s.tobytes()
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], ["name", "members"])
+
+    found = texts.mapInArrow(run, "name long, members binary").join(names, "name", "left_semi")
+    return written(found.groupBy("name").agg(F.first("members").alias("members")), "candidates")
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, star: int) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) that link. The rows of one a are split among tasks of ``star`` of them."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / star).alias("n"))
@@ -267,12 +364,12 @@ def _compared(pairs: DataFrame, sets: DataFrame, star: int) -> DataFrame:
         own, one = None, None
         for batch in found:
             a, role, b = (np.asarray(batch.column(c)) for c in range(3))
-            edges = np.concatenate([[0], np.flatnonzero((role[1:] == 0) | (a[1:] != a[:-1])) + 1, [len(a)]]) if len(a) else []
+            edges = [0, *(np.flatnonzero((role[1:] == 0) | (a[1:] != a[:-1])) + 1).tolist(), len(a)] if len(a) else []
             for f, e in zip(edges[:-1], edges[1:]):
                 if role[f] == 0:
-                    own, one, f = a[f], np.frombuffer(batch.column(3)[int(f)].as_py(), np.uint64), f + 1
-                for at in range(int(f), int(e), 256):
-                    part = slice(at, min(at + 256, int(e)))
+                    own, one, f = a[f], np.frombuffer(batch.column(3)[f].as_py(), np.uint64), f + 1
+                for at in range(f, e, 256):
+                    part = slice(at, min(at + 256, e))
                     held = [np.frombuffer(x, np.uint64) for x in batch.column(3).slice(at, part.stop - at).to_pylist()]
                     on = are_linked(count_common(one, held), len(one), np.array([len(x) for x in held]))
                     if on.any():
@@ -281,64 +378,39 @@ def _compared(pairs: DataFrame, sets: DataFrame, star: int) -> DataFrame:
     return first.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "role", "b", "members").mapInArrow(run, "a long, b long")
 
 
-def _rest(listed: DataFrame, roots: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
-    """Links (a, b) between what is still apart in a list, but for its first set, which was compared with all others."""
-    named = listed.where("name <> least").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    open_ = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    rest = written(named.join(open_, "sig"), "rest")
-    # Lists of one least set are compared together; where they hold many sets, by pairs of chunks.
-    sizes = rest.groupBy("least").agg(F.count_distinct("name").alias("n")).select("least", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"), F.col("n"))
-    bins = max(1, math.ceil((sizes.agg(F.sum("n")).first()[0] or 0) / chunk))
-    dealt = rest.join(sizes, "least").withColumn("mine", F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("bin", F.when(F.col("chunks") > 1, F.col("least")).otherwise(F.pmod(F.xxhash64("least"), F.lit(bins))))
-    dealt = dealt.select("bin", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "sig", "name", "root", "mine")
-    left = dealt.select("bin", "lo", "hi", "name", "root", "mine").distinct().join(sets, "name")
-    right = dealt.groupBy(F.col("bin").alias("to"), F.col("lo").alias("a"), F.col("hi").alias("b"), "sig").agg(F.collect_list("name").alias("names")).where("size(names) > 1")  # two chunks at most
-
-    def compare(own: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        names = own["name"].to_numpy(np.int64)
-        order = np.argsort(names)
-        names, held = names[order], own["members"].to_numpy()
-        members = [np.frombuffer(held[i], np.uint64) for i in order]
-        groups = [np.searchsorted(names, np.sort(np.asarray(x, np.int64))) for x in lists["names"]]
-        found = links_of_lists(members, own["root"].to_numpy(np.int64)[order], own["mine"].to_numpy()[order], groups) if len(names) and groups else []
-        return pd.DataFrame({"a": [names[i] for i, _ in found], "b": [names[j] for _, j in found]}, dtype=np.int64)
-
-    return left.groupBy("bin", "lo", "hi").cogroup(right.groupBy("to", "a", "b")).applyInPandas(compare, "a long, b long")
-
+def _rest(near: DataFrame, roots: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
+    """Links (a, b) between what is still apart in the groups ``near``."""
+    named = near.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    open_ = named.groupBy("grp").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("grp")
+    rest = written(named.join(open_, "grp"), "rest")
 
-def _named(docs: DataFrame, row: Column, star: int = STAR, chunk: int = SETS) -> tuple[DataFrame, DataFrame]:
-    """All rows of ``docs`` with ``row``, id, doc_id, n_shingles and name; and of each name its component_id."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
-    texts = slim.where("doc_id is not null and text is not null").select("text")
-    rarity = spark.sparkContext.broadcast(_count(texts))
-    listed = _lists(texts, rarity)
-    names = listed.select("name").distinct()
-    n_bits, filter_ = _filter(names, names.count())
-    shared = spark.sparkContext.broadcast(filter_)
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_task(found):
+            names = t["name"].to_numpy()
+            links = links_of_group([np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()], t["root"].to_numpy(), t["mine"].to_numpy())
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(names[[x[k] for x in links]]) for k in range(2)], ["a", "b"])
 
-    # Names and sizes of all rows, and the sets that the filter takes for candidates.
-    def name_rows(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at = shared.value, TaskContext.get().partitionId() << 33
-        for batch in found:
-            for a, b, own in slices(batch, 1):
-                names, sizes, sets = [], [], []
-                for s in shingle_sets(own):
-                    name = set_name(s) if len(s) else None
-                    sizes.append(len(s))
-                    names.append(name)
-                    sets.append(s.tobytes() if len(s) and int(known[(name & (n_bits - 1)) >> 6]) >> (name & 63) & 1 else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.arange(at, at + b - a)), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["row", "doc_id", "id", "n_shingles", "name", "members"])
-                at += b - a
+    dealt = _in_chunks(rest, chunk).join(sets, "name").select("grp", "lo", "hi", "mine", "name", "root", "members")
+    return dealt.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(run, "a long, b long")
 
-    schema = slim.select("row", "doc_id").schema.add("id", T.LongType()).add("n_shingles", T.LongType()).add("name", T.LongType()).add("members", T.BinaryType())
-    rows = written(slim.select("row", "text", "doc_id").mapInArrow(name_rows, schema), "sets")
 
-    sets = rows.where("members is not null and doc_id is not null").groupBy("name").agg(F.first("members").alias("members"))
-    sets = written(sets.join(names, "name"), "candidates")
-    # Every set meets the first of its lists: one of them before the others, which that may settle.
-    pairs = listed.where("name <> least").groupBy("name", "least").agg(F.lit(1).alias("_")).select(F.col("least").alias("a"), F.col("name").alias("b"))
+def _named(docs: DataFrame, row: Column, star: int = STAR, chunk: int = SETS) -> tuple[DataFrame, DataFrame]:
+    """All rows of ``docs`` with ``row``, id, doc_id, n_shingles and name; and of each name its component_id."""
+    texts = docs.where("doc_id is not null and text is not null").select("text")
+    read = _read(docs, row)
+    rows = read.where("block is null")
+    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(read.where("block is not null").select("block", "counts")))
+    stars = _groups(texts, rarity)
+    groups = stars.select(F.col("least").alias("grp"), "name")
+    groups = groups.union(groups.select("grp", F.col("grp").alias("name")).distinct())
+    maps = rows.where("name is not null and doc_id is not null").groupBy("name").agg(F.first("n_shingles").alias("n_shingles"), F.first("map").alias("map"))
+    near = written(_near(groups, maps, chunk), "near")
+    sets = _sets(texts, near.select("name").distinct())
+
+    # Every set meets the first of its groups: one of them before the others, which that may settle.
+    first = near.groupBy("grp").agg(F.min("name").alias("a"))
+    pairs = near.join(first, "grp").where("a <> name").select("a", F.col("name").alias("b")).distinct()
     one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(_compared(one, sets, star), "links")
     joined = links.select(F.col("b").alias("node"), F.col("a").alias("top"))
@@ -346,7 +418,7 @@ def _named(docs: DataFrame, row: Column, star: int = STAR, chunk: int = SETS) ->
     others = label(label(pairs.join(one, ["a", "b"], "left_anti"), "a"), "b").where("_a <> _b").select("a", "b")
     links = written(links.union(_compared(others, sets, star)), "links")
     roots = components(links)
-    links = links.union(_rest(listed, roots, sets, chunk))
+    links = links.union(_rest(near, roots, sets, chunk))
     tops = components(links).select(F.col("node").alias("name"), F.col("root").alias("top"))
 
     # The smallest doc_id of each component.

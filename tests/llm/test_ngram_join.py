@@ -110,6 +110,21 @@ def test_a_family_that_no_single_set_links(spark, star, chunk):
     assert found == want and len({w[2] for w in want}) < 75
 
 
+def test_bitmaps_rule_out_no_link():
+    r, out = np.random.default_rng(4), 0
+    for n in [*range(1, 30), 100, 500, 5000]:
+        for _ in range(10):
+            x = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[r.integers(0, n // 4 + 1) :], r.integers(0, 2**64, r.integers(0, n // 4 + 1), dtype=np.uint64)]))
+            if len(y):
+                maps = np.stack([ngram_join.parities(x), ngram_join.parities(y)]).view(np.uint64)
+                fits = ngram_join.can_link(maps[0], len(x), maps[1:], np.array([len(y)]))[0]
+                common = len(np.intersect1d(x, y))
+                assert fits or 5 * common < 4 * (len(x) + len(y) - common)
+                out += not fits
+    assert out > 20
+
+
 def test_clashing_names(spark, empty):
     names = ["doc_id", "text", "n_shingles", "component_id", "name", "row", "id", "members", "least", "a.b"]
     rows = [(i, "one two three four five six " + str(i // 2), *range(8)) for i in range(10)]
