@@ -43,6 +43,8 @@ STAR, SETS = 4_000, 2_000
 SEEN = 200_000
 #: Bits of the filter of candidate sets, at most (8 MB); what it lets through in vain is dropped by a join.
 FILTER_BITS = 1 << 26
+#: Rows of pairs of names up to which they are broadcast to the sets (24 MB); beyond, both sides are shuffled.
+NAMES = 1 << 20
 #: Bits of a set's bitmap.
 PARITIES = 1024
 
@@ -353,11 +355,16 @@ def _sets(texts: DataFrame, names: DataFrame) -> DataFrame:
     return written(found.groupBy("name").agg(F.first("members").alias("members")), "candidates")
 
 
+def _sent(names: DataFrame) -> DataFrame:
+    """A written table of names, to be broadcast where it is small."""
+    return F.broadcast(names) if names.count() <= NAMES else names
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, star: int) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) that link. The rows of one a are split among tasks of ``star`` of them."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / star).alias("n"))
-    dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("salt"))
-    first = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("name", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "members")
+    dealt = _sent(written(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("salt")), "pairs"))
+    first = _sent(written(dealt.select("a", "salt").distinct(), "firsts")).join(sets.withColumnRenamed("name", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "members")
     others = dealt.join(sets.withColumnRenamed("name", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "members")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +398,7 @@ def _rest(near: DataFrame, roots: DataFrame, sets: DataFrame, chunk: int) -> Dat
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(names[[x[k] for x in links]]) for k in range(2)], ["a", "b"])
 
-    dealt = _in_chunks(rest, chunk).join(sets, "name").select("grp", "lo", "hi", "mine", "name", "root", "members")
+    dealt = _sent(written(_in_chunks(rest, chunk), "rest")).join(sets, "name").select("grp", "lo", "hi", "mine", "name", "root", "members")
     return dealt.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(run, "a long, b long")
 
 

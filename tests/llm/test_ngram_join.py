@@ -94,9 +94,10 @@ def test_plan_of_sizes():
             assert all(5 * c < 4 * (n + b - c) for c in range(k)) or k == ngram_join.least_common(ngram_join.smallest_partner(b), b)
 
 
-@pytest.mark.parametrize("star,chunk", [(3, 5), (4000, 2000)])
-def test_a_family_that_no_single_set_links(spark, star, chunk):
+@pytest.mark.parametrize("star,chunk,names", [(3, 5, 0), (4000, 2000, 1 << 20)])
+def test_a_family_that_no_single_set_links(spark, monkeypatch, star, chunk, names):
     """A chain of texts, each near the next but not to those further on, and many that share a passage only."""
+    monkeypatch.setattr(ngram_join, "NAMES", names)
     r = random.Random(8)
     base = [f"c{i}" for i in range(400)]
     texts = [" ".join(base[12 * i : 12 * i + 160]) for i in range(20)]
