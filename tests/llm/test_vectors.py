@@ -87,7 +87,10 @@ def test_estimates_are_unbiased_and_bounded():
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     error, out = [], 0
     for seed in range(30):
-        est, bound = neardup_vectors.Codes(unit, seed).estimate(0, slice(1, None))
+        codes = neardup_vectors.Codes.of(unit, seed)
+        codes = neardup_vectors.Codes.from_rows(codes.rows(), 64)  # as stored
+        est, bound = codes.estimates(slice(0, 1), slice(1, None))
+        est, bound = est[0], bound[0]
         error.append(est - unit[1:] @ unit[0])
         out += (np.abs(error[-1]) > bound).sum()
     assert abs(np.mean(error)) < 0.01 and out <= 30 * 399 * 0.002
