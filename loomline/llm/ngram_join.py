@@ -45,7 +45,7 @@ SEEN = 200_000
 FILTER_BITS = 1 << 26
 #: Rows of pairs of names up to which they are broadcast to the sets (24 MB); beyond, both sides are shuffled.
 NAMES = 1 << 20
-#: Bits of a set's bitmap.
+#: Least bits of a set's bitmap; larger sets have as many as members, or up to twice that.
 PARITIES = 1024
 
 
@@ -138,38 +138,59 @@ def are_linked(common: np.ndarray, a: int | np.ndarray, b: int | np.ndarray) ->
 def parities(s: np.ndarray) -> np.ndarray:
     """Of each residue of hashes, whether the set has an odd number of them: in as many bits as two such bitmaps differ,
     their sets differ in at least as many members."""
-    return np.packbits(np.bincount((s & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1)
-
-
-def can_link(map_a: np.ndarray, size_a: int, maps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    low, high = np.minimum(size_a, sizes), np.maximum(size_a, sizes)
-    out = SHARE[1] * low >= SHARE[0] * high
-    differ = np.bitwise_count(maps[out] ^ map_a).sum(1, dtype=np.int64)
-    out[out] = (SHARE[0] + SHARE[1]) * differ <= (SHARE[1] - SHARE[0]) * (size_a + sizes[out])
-    return out
+    n = max(PARITIES, 1 << int(len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1)
+
+
+class Bitmaps:
+    """Sets of a group in order of their sizes, as bitmaps. Residues of half as many are the halves, put together."""
+
+    def __init__(self, maps: list[bytes], size: np.ndarray):
+        self.order = np.argsort(size, kind="stable")
+        self.size = size[self.order]
+        self.width = np.array([len(maps[i]) // 8 for i in self.order])
+        self.folded, rows = {}, [np.frombuffer(maps[i], np.uint64) for i in self.order]
+        for w in sorted(set(self.width.tolist()), reverse=True):
+            begin, last = int(np.searchsorted(self.width, w)), int(np.searchsorted(self.width, w, side="right"))
+            above = self.folded.get(w * 2)
+            if above is None and last < len(rows):  # wider ones, none of twice the width
+                above = min((x for k, x in self.folded.items() if k > w), key=lambda x: x.shape[1])
+            while above is not None and above.shape[1] > w:
+                above = above[:, : above.shape[1] // 2] ^ above[:, above.shape[1] // 2 :]
+            own = np.stack(rows[begin:last])
+            self.folded[w] = own if above is None else np.concatenate([own, above])
+        self.begin = {w: int(np.searchsorted(self.width, w)) for w in self.folded}
+
+    def partners(self, i: int) -> np.ndarray:
+        """Places after ``i`` of sets that can link with its."""
+        n, w = int(self.size[i]), int(self.width[i])
+        end = int(np.searchsorted(self.size, largest_partner(n), side="right"))
+        own = self.folded[w]
+        differ = np.bitwise_count(own[i + 1 - self.begin[w] : end - self.begin[w]] ^ own[i - self.begin[w]]).sum(1, dtype=np.int64)
+        return np.flatnonzero((SHARE[0] + SHARE[1]) * differ <= (SHARE[1] - SHARE[0]) * (n + self.size[i + 1 : end])) + i + 1
 
 
 def links_of_group(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
     """Links that join what is still apart: pairs of sets whose components, to begin with ``root``, differ. Where
     ``side`` has two values, only pairs of both."""
-    size, maps = np.array([len(s) for s in sets]), np.stack([parities(s) for s in sets]).view(np.uint64)
+    maps = Bitmaps([parities(s).tobytes() for s in sets], np.array([len(s) for s in sets]))
     _, comp = np.unique(root, return_inverse=True)
-    crossing, found = len(np.unique(side)) > 1, []
+    order, size = maps.order, maps.size
+    comp, side, crossing, found = comp[order], side[order], len(np.unique(side)) > 1, []
     for i in range(len(sets) - 1):
-        near = comp[i + 1 :] != comp[i]
+        if (comp[i + 1 :] == comp[i]).all():
+            continue
+        rest = maps.partners(i)
         if crossing:
-            near &= side[i + 1 :] != side[i]
-        rest = np.flatnonzero(near) + i + 1
-        if len(rest):
-            rest = rest[can_link(maps[i], size[i], maps[rest], size[rest])]
+            rest = rest[side[rest] != side[i]]
         for b in range(0, len(rest), 64):
             part = rest[b : b + 64]
             part = part[comp[part] != comp[i]]
             if not len(part):
                 continue
-            for j in part[are_linked(count_common(sets[i], [sets[j] for j in part.tolist()]), size[i], size[part])].tolist():
+            for j in part[are_linked(count_common(sets[order[i]], [sets[order[j]] for j in part.tolist()]), size[i], size[part])].tolist():
                 if comp[j] != comp[i]:
-                    found.append((i, j))
+                    found.append((int(order[i]), int(order[j])))
                     comp[comp == comp[j]] = comp[i]
     return found
 
@@ -306,16 +327,16 @@ def _near(groups: DataFrame, maps: DataFrame, chunk: int) -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_task(found):
-            size, side = t["n_shingles"].to_numpy(), t["mine"].to_numpy()
-            own, crossing = np.frombuffer(b"".join(t["map"].to_pylist()), np.uint64).reshape(len(t), -1), len(np.unique(side)) > 1
-            on = np.zeros(len(t), bool)
+            maps = Bitmaps(t["map"].to_pylist(), t["n_shingles"].to_numpy())
+            side, on = t["mine"].to_numpy()[maps.order], np.zeros(len(t), bool)
+            crossing = len(np.unique(side)) > 1
             for i in range(len(t) - 1):
-                fits = can_link(own[i], size[i], own[i + 1 :], size[i + 1 :])
+                fits = maps.partners(i)
                 if crossing:
-                    fits &= side[i + 1 :] != side[i]
-                if fits.any():
-                    on[i] = True
-                    on[i + 1 :] |= fits
+                    fits = fits[side[fits] != side[i]]
+                if len(fits):
+                    on[maps.order[i]] = True
+                    on[maps.order[fits]] = True
             if on.any():
                 yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[on]) for c in ("grp", "name")], ["grp", "name"])
 
@@ -385,9 +406,11 @@ def _compared(pairs: DataFrame, sets: DataFrame, star: int) -> DataFrame:
     return first.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "role", "b", "members").mapInArrow(run, "a long, b long")
 
 
-def _rest(near: DataFrame, roots: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
-    """Links (a, b) between what is still apart in the groups ``near``."""
-    named = near.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+def _rest(near: DataFrame, first: DataFrame, roots: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
+    """Links (a, b) between what is still apart in the groups ``near``, but for the first of each, which was compared
+    with all others."""
+    named = near.join(first, "grp").where("name <> a").drop("a")
+    named = named.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     open_ = named.groupBy("grp").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("grp")
     rest = written(named.join(open_, "grp"), "rest")
 
@@ -425,7 +448,7 @@ def _named(docs: DataFrame, row: Column, star: int = STAR, chunk: int = SETS) ->
     others = label(label(pairs.join(one, ["a", "b"], "left_anti"), "a"), "b").where("_a <> _b").select("a", "b")
     links = written(links.union(_compared(others, sets, star)), "links")
     roots = components(links)
-    links = links.union(_rest(near, roots, sets, chunk))
+    links = links.union(_rest(near, first, roots, sets, chunk))
     tops = components(links).select(F.col("node").alias("name"), F.col("root").alias("top"))
 
     # The smallest doc_id of each component.

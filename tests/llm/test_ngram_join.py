@@ -113,17 +113,19 @@ def test_a_family_that_no_single_set_links(spark, monkeypatch, star, chunk, name
 
 def test_bitmaps_rule_out_no_link():
     r, out = np.random.default_rng(4), 0
-    for n in [*range(1, 30), 100, 500, 5000]:
+    for n in [*range(1, 30), 100, 500, 1000, 1024, 1030, 2040, 5000]:
         for _ in range(10):
             x = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
             y = np.unique(np.concatenate([x[r.integers(0, n // 4 + 1) :], r.integers(0, 2**64, r.integers(0, n // 4 + 1), dtype=np.uint64)]))
             if len(y):
-                maps = np.stack([ngram_join.parities(x), ngram_join.parities(y)]).view(np.uint64)
-                fits = ngram_join.can_link(maps[0], len(x), maps[1:], np.array([len(y)]))[0]
+                fits = len(ngram_join.Bitmaps([ngram_join.parities(v).tobytes() for v in (x, y)], np.array([len(x), len(y)])).partners(0))
                 common = len(np.intersect1d(x, y))
                 assert fits or 5 * common < 4 * (len(x) + len(y) - common)
                 out += not fits
     assert out > 20
+    sets = [np.unique(r.integers(0, 2**64, n, dtype=np.uint64)) for n in (10, 900, 1020, 1030, 2000, 4000, 4500)]
+    maps = ngram_join.Bitmaps([ngram_join.parities(v).tobytes() for v in sets], np.array([len(v) for v in sets]))
+    assert not any(len(maps.partners(i)) for i in range(7))  # sets that have nothing in common, large ones too
 
 
 def test_clashing_names(spark, empty):
