@@ -87,7 +87,7 @@ def _close(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: in
     left = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order:  # the longest first, down to what the programme covers
-        if left <= reach:
+        if left <= reach or not lengths[i]:
             break
         n = min(int(counts[i] - take[i]), (left - reach // 2) // int(lengths[i]))
         if n > 0:
@@ -163,13 +163,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: fl
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 11) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as the mix takes them; blank texts go."""
-    hashed = F.xxhash64(F.lit(seed), "doc_id", "text", "source")
-    taken = mix_sources(docs, weights, share, most, seed, (hashed.alias("_key"),)).where("taken > 0")
-    copies = taken.groupBy("_key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    # Rows that are the same in doc_id, text and source: the first stands for all.
-    found = docs.withColumn("_key", hashed).join(copies, "_key")
-    again = docs.select(hashed.alias("_key")).groupBy("_key").count().where("count > 1").select("_key")
-    if again.limit(1).count():
-        found = found.join(again, "_key", "left_anti").union(found.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """The rows of ``docs``, all columns whatever their names, as often as the mix takes them; null and blank texts go.
+    Each row is taken on its own account, repeated ones and those with a null doc_id or source too. An empty table gives
+    no rows. ``docs`` is written once to the shared folder, so that the numbers of its rows stay."""
+    fixed = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("id")), "mixed")
+    slim = fixed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"), "id")
+    taken = mix_sources(slim, weights, share, most, seed, (F.col("id"),)).where("taken > 0").select("id", F.expr("cast(taken div size as int)").alias("copies"))
+    return fixed.join(taken, "id").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,12 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool
     joined by spaces. A null text has no words and stays null. Rows of one doc_id aren't earlier than one another. A
     row with a null doc_id loses nothing and takes nothing from others. An empty table gives no rows.
     """
+    return _removed(docs, F.struct("doc_id", *keep), with_text, shard, hot).select("row.*", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
+
+
+def _removed(docs: DataFrame, row: Column, with_text: bool, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_t"), "text", F.struct("doc_id", *keep).alias("row"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_t"), "text", row.alias("row"))
 
     # 1. The distinct regions of each document.
     def find(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +168,15 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), with_text: bool
     if with_text:
         schema = schema.add("kept_text", T.StringType())
     remove(shared)
-    return both.mapInArrow(cut, schema).select("row.*", *schema.names[1:])
+    return both.mapInArrow(cut, schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, with what stays of their texts. A row that loses every word goes; n_chars,
-    where there is such a column, becomes the length of what stays."""
-    own = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = remove_repeats(docs, tuple(own), with_text=True).where("n_words = 0 or n_removed < n_words").withColumnRenamed("kept_text", "text")
+    """The rows of ``docs``, all columns whatever their names, with what stays of their texts. A row that loses every
+    word goes; n_chars, where there is such a column, becomes the length of what stays. Null and blank texts, rows with
+    a null doc_id, and repeated rows are kept as they are or cut as ``remove_repeats`` says. An empty table gives no rows."""
+    found = _removed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), True).where("n_words = 0 or n_removed < n_words")
+    own = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("kept_text")}
     if "n_chars" in own:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return found.select(*[x.alias(c) for c, x in own.items()])

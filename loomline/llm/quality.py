@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from .common import Words, remainder, slices
 
 #: Labelled documents the field is fitted on, at most; which ones is drawn by a hash.
 SAMPLE = 6_000
+#: Lines of the sample after which no document is added (250 MB of features).
+LINES = 1_000_000
 #: Draws the sample.
 SEED = 23
 
@@ -165,8 +167,9 @@ def document_scores(field: Field, texts: list[str | None]) -> np.ndarray:
     return np.add.reduceat(good * length, at[:-1]) / np.add.reduceat(length, at[:-1])
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, held_out: int = 1) -> Field:
-    """A field fitted on at most ``sample`` labelled rows outside the held-out fold. Without any, all scores are 0.5.
+def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, held_out: int = 1, most_lines: int = LINES) -> Field:
+    """A field fitted on at most ``sample`` labelled rows outside the held-out fold, and no more of them once they have
+    ``most_lines`` lines. Without any, all scores are 0.5.
 
     Labels with a null doc_id or mark are left out; a doc_id marked twice takes part with each mark.
     """
@@ -181,7 +184,15 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold
                 x, _, at = line_features(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "quality", "x"])
 
-    rows = sorted(marked.mapInArrow(run, "doc_id long, quality int, x binary").collect(), key=lambda r: (r[0], r[1], r[2]))
+    # One row for each document, until there are enough lines: what the driver holds is bounded whatever texts are like.
+    drawn, lines = [], 0
+    order = [F.xxhash64(F.lit(SEED), "doc_id", "quality"), "doc_id", "quality", "x"]
+    for r in marked.mapInArrow(run, "doc_id long, quality int, x binary").orderBy(*order).limit(sample).toLocalIterator():
+        drawn.append(r)
+        lines += len(r["x"]) // (4 * N)
+        if lines >= most_lines:
+            break
+    rows = sorted(drawn, key=lambda r: (r[0], r[1], r[2]))
     if not rows:
         return Field(np.zeros(3 * N, np.float32), np.zeros((2, 2)), np.zeros(3 * N, np.float32), np.ones(3 * N, np.float32))
     parts = [np.frombuffer(r[2], np.float32).reshape(-1, N) for r in rows]
@@ -191,9 +202,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold
 def score_quality(docs: DataFrame, field: Field, folds: int = 3, held_out: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with held_out, score (0 to 1) and predicted, after the columns of ``keep``.
 
-    A null or empty text is one empty line. Nothing but the text bears on the score. No row moves between tasks.
+    A null or empty text is one empty line. A null doc_id counts as the empty text for the fold; repeated rows are
+    scored each. Nothing but the text bears on the score. No row moves between tasks. An empty table gives no rows.
     """
-    slim = docs.select(F.coalesce(remainder(docs["doc_id"], folds), F.lit(0)).eqNullSafe(F.lit(held_out)).alias("held_out"), "text", F.struct("doc_id", *keep).alias("row"))
+    return _scored(docs, F.struct("doc_id", *keep), field, folds, held_out).select("row.*", "held_out", "score", "predicted")
+
+
+def _scored(docs: DataFrame, row: Column, field: Field, folds: int = 3, held_out: int = 1) -> DataFrame:
+    slim = docs.select(F.coalesce(remainder(docs["doc_id"], folds), F.lit(0)).eqNullSafe(F.lit(held_out)).alias("held_out"), "text", row.alias("row"))
     schema = slim.select("row", "held_out").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +218,11 @@ def score_quality(docs: DataFrame, field: Field, folds: int = 3, held_out: int =
                 score = document_scores(field, texts)
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), batch.column(0).slice(a, b - a), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], ["row", "held_out", "score", "predicted"])
 
-    return slim.mapInArrow(run, schema).select("row.*", "held_out", "score", "predicted")
+    return slim.mapInArrow(run, schema)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is 0.5 or more."""
-    own = [c for c in docs.columns if c != "doc_id"]
-    return score_quality(docs, train_quality(docs, labels), keep=tuple(own)).where("predicted = 1").select(*docs.columns)
+    """The rows of ``docs``, all columns whatever their names, whose score is 0.5 or more: every repeat of a row, rows
+    with a null doc_id too. A null or empty text is one empty line. An empty table gives no rows."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _scored(docs, row, train_quality(docs, labels)).where("predicted = 1").select("row.*")

@@ -52,6 +52,12 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.n
     """How many rows each partition (a row, of ``counts`` rows) sends to each shard (a column, of ``sizes`` rows)."""
     rng = np.random.default_rng(seed)
     left, out = [int(s) for s in sizes], np.zeros((len(counts), len(sizes)), np.int64)
+    if sum(left) < 10**9:
+        left = np.array(left, np.int64)
+        for i, n in enumerate(counts):
+            out[i] = rng.multivariate_hypergeometric(left, int(n), method="marginals")
+            left -= out[i]
+        return out
     for i, n in enumerate(counts):
         rest, n = sum(left), int(n)
         for k in range(len(left)):
@@ -66,6 +72,7 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.n
 def exact_shards(rows: DataFrame, key: Column, n_shards: int = 40, seed: int = 17, block: int = BLOCK) -> DataFrame:
     """``rows`` with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in its shard), uniformly shuffled.
 
+    Where ``rows`` has such columns, the new ones are named ``_shard`` and ``_slot`` (or with more underscores).
     Shard sizes differ by one row at most: the first ``count % n_shards`` shards have one more. ``key`` is any
     expression that tells rows apart; equal rows are told apart by their place. An empty table gives no rows. Nulls are
     ordinary values. ``rows`` is written once to the shared folder, so partition, place and counts stay those drawn for.
@@ -85,7 +92,15 @@ def exact_shards(rows: DataFrame, key: Column, n_shards: int = 40, seed: int = 1
     sent = sent.withColumn("_b", F.pmod(F.col("_k"), F.lit(blocks)))
     before = sent.groupBy("shard", "_b").count().withColumn("_base", F.sum("count").over(Window.partitionBy("shard").orderBy("_b")) - F.col("count")).drop("count")
     place = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("_k")) - 1
-    return sent.withColumn("_j", place).join(before, ["shard", "_b"]).select("_r.*", "shard", (F.col("_j") + F.col("_base")).cast("long").alias("slot"))
+    found = sent.withColumn("_j", place).join(before, ["shard", "_b"]).select("_r", "shard", (F.col("_j") + F.col("_base")).cast("long").alias("slot"))
+    return found.select("_r.*", F.col("shard").alias(_free("shard", names)), F.col("slot").alias(_free("slot", names)))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, after as many underscores as it takes to differ from all of ``taken``."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, seed: int = 17) -> DataFrame:
@@ -100,5 +115,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, seed: int = 17) -> Data
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, seed: int = 17) -> None:
-    """Writes whole rows of ``docs`` to one folder for each shard, with their slots."""
-    exact_shards(docs, F.xxhash64("doc_id"), n_shards, seed).write.partitionBy("shard").parquet(path)
+    """Writes whole rows of ``docs``, null and repeated ones too, to one folder for each shard, with their slots; where
+    ``docs`` has a column shard, folders are named ``_shard=...``, as ``exact_shards`` says. An empty table writes no
+    folder. Columns may have any names."""
+    exact_shards(docs, F.xxhash64("doc_id"), n_shards, seed).write.partitionBy(_free("shard", docs.columns)).parquet(path)

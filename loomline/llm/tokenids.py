@@ -148,7 +148,8 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Of each document, from the files: doc_id, start, n_tokens and ids_crc32."""
+    """Of each document, from the files: doc_id (may be null or repeated), start, n_tokens and ids_crc32. Files of an
+    empty table give no rows."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -163,7 +164,9 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Writes the ids of ``docs`` to the shared folder and gives what the files hold of each document."""
+    """Writes the ids of ``docs`` to the shared folder and gives what the files hold of each document: a row for each
+    row of ``docs``, repeated ones too. A null or empty text has its end id alone, a null doc_id stays null and comes
+    first. Further columns are ignored. An empty table gives no rows."""
     path = new_path(docs.sparkSession, "ids")
     write_token_ids(docs, path, tokenizer, end_id)
     return token_digests(docs.sparkSession, path)

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomline.llm import mixing, packing, sharding, tokenids
 from loomline.llm.common import TokenCache, Words, hash_spans
@@ -163,6 +164,17 @@ def test_sharding(odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_written_shards(spark, odd, empty, tmp_path):
+    sharding.write_shards(odd.drop("shard"), f"{tmp_path}/a", 4)
+    back = spark.read.parquet(f"{tmp_path}/a")
+    assert set(back.columns) == {*odd.columns, "slot"} and back.count() == odd.count()
+    assert Counter(r.doc_id for r in back.collect()) == Counter(r.doc_id for r in odd.collect())
+    sharding.write_shards(odd, f"{tmp_path}/b", 4)  # which has a column shard
+    back = spark.read.parquet(f"{tmp_path}/b")
+    assert {r.shard for r in back.collect()} == {r.shard for r in odd.collect()} and {r._shard for r in back.collect()} == {0, 1, 2, 3}
+    assert sharding.exact_shards(empty, F.col("doc_id")).count() == 0
+
+
 def test_matrix_has_its_margins():
     m = sharding.communication_matrix([5, 0, 12, 3], [7, 7, 6], 1)
     assert m.sum(1).tolist() == [5, 0, 12, 3] and m.sum(0).tolist() == [7, 7, 6]

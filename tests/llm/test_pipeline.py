@@ -73,3 +73,46 @@ def test_stages(spark, tables):
 def test_run(spark, tables):
     found = corpus_pipeline.run(spark, tables)
     assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and found.count() > 50
+
+
+CLASHING = ["doc_id", "text", "source", "n_chars", "n_shingles", "component_id", "n_words", "n_removed", "kept_sha256", "kept_text", "predicted", "score", "held_out", "_copies", "_key", "_copy", "id", "row", "copies", "name", "size", "taken", "target", "label", "a.b"]
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Null doc_ids and texts, repeats, ties, one very long text, and columns with the names that stages use."""
+    r = random.Random(4)
+    vocab = ["walks", "river", "stone", "under", "seven", "boats", "green", "others", "while", "sing"]
+    text = lambda n: " ".join(r.choice(vocab) + r.choice(["", "s", "ed"]) for _ in range(n))
+    long = text(60_000)
+    rows = [(i, text(60)) for i in range(30)] + [(None, text(60)), (None, None), (40, None), (41, ""), (42, " \n ")] + [(43, text(70))] * 3
+    rows += [(50, long), (51, long), (52, text(9) + " " + long)] + [(60 + i, text(50)) for i in range(5)] * 2
+    rows = [(d, t, f"s{(d or 0) % 3}" if d != 7 else None, len(t or ""), *(i * 100 + k for k in range(len(CLASHING) - 4))) for i, (d, t) in enumerate(rows)]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHING[4:])
+    path = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 30)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_odd_rows_and_clashing_names(spark, odd_tables):
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
+    schema = docs.schema
+    given = {r["size"]: r for r in docs.collect()}  # tells rows apart
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, odd_tables)
+        assert docs.columns == CLASHING, name
+        rows = docs.collect()
+        assert rows, name
+        for x in rows:  # the user's own values, all of one row
+            was = given[x["size"]]
+            assert [x[c] for c in CLASHING if c not in ("text", "n_chars")] == [was[c] for c in CLASHING if c not in ("text", "n_chars")], name
+        docs = spark.createDataFrame(rows, schema).repartition(2)
+    assert {r.doc_id for r in rows} >= set(range(30)) - {None}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, odd_tables).count() > 0
+
+
+def test_empty_tables(spark, odd_tables):
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, odd_tables).count() == 0, name
