@@ -116,6 +116,55 @@ def test_training_takes_all_windows(spark, monkeypatch):
     assert (attention.with_targets(rows, lm_score.N_CLASSES)[:, attention.WINDOW :] >= 0).sum() == 3000 + 1 + 2 + 1 + 1
 
 
+def plain_score(w, vocabulary, text):
+    """The chance of a text, id by id: each in the window that shows most before it."""
+    words = Words([text], lower=True)
+    found, classes, (seq,) = lm_score._class_sequences(words, vocabulary)
+    begin, total = len(w["ids"]) - 1, 0.0
+    for i, target in enumerate(seq.tolist()):
+        first = max(0, (i - 8) // 24 * 24)
+        before = [begin, *seq.tolist()][first : i + 1]
+        x = w["ids"][before].astype(float) + w["places"][: len(before)]
+        q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
+        h = np.zeros(16)
+        e = np.exp(k @ q[-1] / 4)
+        h = x[-1] + (e / e.sum()) @ v @ w["o"]
+        h = h + np.maximum(h @ w["up"] + w["up_bias"], 0) @ w["down"]
+        z = np.exp(h @ w["out"] + w["out_bias"])
+        total += math.log10(z[target] / z.sum())
+    for f, c in zip(found.tolist(), classes.tolist()):
+        total += math.log10(vocabulary.counts[f] / vocabulary.sums[c] if f >= 0 else 0.5 / (vocabulary.sums[c] + 0.5 * (vocabulary.kinds[c] + 1)))
+    return total
+
+
+def test_scores_equal_plain_ones_however_rows_are_dealt(spark):
+    r = random.Random(6)
+    vocab = ["river", "stone", "walks", "under", "bridges", "seven", "green", "boats", "others", "sing"]
+    docs = [(i, " ".join(r.choice(vocab[: 3 + i % 7]) for _ in range(r.choice([0, 1, 7, 8, 9, 31, 33, 60, 200])))) for i in range(80)]
+    docs += [(100, docs[20][1]), (101, "river unseenword Stone")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    scores = [sorted((x.doc_id, x.score) for x in lm_score.score_texts(d, BYTE).collect()) for d in (df.coalesce(1), df.repartition(16))]
+    assert [s for _, s in scores[0]] == pytest.approx([s for _, s in scores[1]], rel=1e-6)
+    training = df.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
+    vocabulary, _ = lm_score.learn(training.select("text", "doc_id"), BYTE)
+    w = lm_score.fit(training.select("text", "doc_id"), vocabulary)
+    assert [s for _, s in scores[0]] == pytest.approx([plain_score(w, vocabulary, t) for _, t in sorted(docs)], rel=1e-4)
+
+
+def test_groups_do_not_depend_on_batches(spark, monkeypatch):
+    r = random.Random(7)
+    df = spark.createDataFrame([(i, " ".join(r.choice(["a", "b", "cc", "dd"]) for _ in range(400))) for i in range(30)], "doc_id long, text string")
+    monkeypatch.setattr(lm_score, "GROUP", 100)
+    monkeypatch.setattr(lm_score, "ROUND", 37)
+    vocabulary, _ = lm_score.learn(df, BYTE)
+    monkeypatch.setattr(lm_score, "START", 64)
+    one = lm_score.fit(df.select("text", "doc_id").coalesce(1), vocabulary)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    two = lm_score.fit(df.select("text", "doc_id").repartition(7), vocabulary)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all((one[k] == two[k]).all() for k in one)
+
+
 def test_masked():
     w = attention.initial(9, np.zeros(9))
     a = np.random.default_rng(0).integers(0, 9, (1, 20))
