@@ -6,12 +6,15 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ParserConfig
 from ..operators.matcher import TemplateMatcher
+from .tokens import WHITE, char_class
 
 
-def register(spark: SparkSession, matcher: TemplateMatcher | None = None) -> None:
+def register(spark: SparkSession, matcher: TemplateMatcher | None = None, config: ParserConfig | None = None) -> None:
     """``log_template_args(template, mask_args)`` puts arguments into a template; with a matcher, ``log_match(msg)``
-    gives the number of the best template."""
+    gives the number of the best template. ``log_tokenize(msg)`` gives the slices of the tokens, for a configuration
+    without special patterns."""
 
     @F.pandas_udf("string")
     def fill(template: pd.Series, args: pd.Series) -> pd.Series:
@@ -23,25 +26,11 @@ def register(spark: SparkSession, matcher: TemplateMatcher | None = None) -> Non
         return pd.Series([one(t, a) for t, a in zip(template, args, strict=True)], dtype=object)
 
     spark.udf.register("log_template_args", fill)
-    if matcher is None:
-        return
-    ranked = [(t.template_id, t.template.split("<*>")) for t in sorted(matcher.compiled, key=lambda t: (t.n_ph > 0, t.rank)) if t.template != "<*>"]
-
-    def fits(parts: list[str], msg: str) -> bool:
-        if len(parts) == 1:
-            return msg == parts[0]
-        if not msg.startswith(parts[0]):
-            return False
-        at = len(parts[0])
-        for literal in parts[1:-1]:
-            nxt = msg.find(literal, at)
-            if nxt <= at:
-                return False
-            at = nxt + len(literal)
-        return msg.endswith(parts[-1]) and len(msg) - len(parts[-1]) > at
-
-    @F.pandas_udf("int")
-    def match(messages: pd.Series) -> pd.Series:
-        return messages.map(lambda m: next((i for i, p in ranked if m is not None and fits(p, m)), -1)).astype("int32")
-
-    spark.udf.register("log_match", match)
+    cfg = config or ParserConfig()
+    plain = not (cfg.special_whites or cfg.special_blacks)
+    edge = WHITE + char_class(cfg.symbols)
+    if plain:  # one expression, in the JVM
+        spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION log_tokenize(msg STRING) RETURNS ARRAY<STRING>
+            RETURN regexp_extract_all(msg, r'[{edge}]|[^{edge}]+', 0)""")
+    if matcher is not None:
+        spark.udf.register("log_match", matcher.lookup())

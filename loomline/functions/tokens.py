@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,30 +52,31 @@ def _refine(pattern: Pattern, kind: int):
     return lambda t: F.when(t["kind"] == UNREFINED, _split_by(t["slice"], pattern, kind)).otherwise(F.array(t))
 
 
+def _spans(text: str, match) -> Iterator[tuple[int, int, int]]:
+    """Where each search begins, and the match it finds in what is left of the text from there. An empty match ends a
+    search, and the next begins one character after it."""
+    begin = 0
+    while begin <= len(text) and (found := match(text[begin:])):
+        a, b = (begin + x for x in found.span())
+        if a < b:
+            yield begin, a, b
+        elif a == len(text):
+            return
+        begin = b if a < b else a + 1
+
+
 def split_loop(text: str, match, kind: int) -> list[tuple[int, str]]:
-    """Matches found in what is left, again and again, so that anchors hold anew after each; an empty match moves on by
-    one character. Where a longer match follows such a move, what was passed over is lost."""
-    out, last, matched = [], 0, False
-    while last <= len(text):
-        m = match(text[last:])
-        if m is None:
-            break
-        start, end = last + m.start(), last + m.end()
-        if start == end:
-            if start >= len(text):
-                break
-            last = start + 1
-            continue
-        matched = True
-        if start > last:
-            out.append((UNREFINED, text[last:start]))
-        out.append((kind, text[start:end]))
-        last = end
-    if not matched:
+    """Matches found in what is left, again and again, so that anchors hold anew after each. What the search that finds
+    a match begins with is kept before it; what empty matches passed over is lost, unless no longer match follows."""
+    spans = list(_spans(text, match))
+    if not spans:
         return [(UNREFINED, text)]
-    if last < len(text):
-        out.append((UNREFINED, text[last:]))
-    return out
+    pieces = [piece for begin, a, b in spans for piece in ((UNREFINED, text[begin:a]), (kind, text[a:b]))]
+    rest, end = len(text), spans[-1][2]
+    while end <= rest and (found := match(text[end:])) and end + found.start() < rest:  # only empty ones are left
+        end += found.start() + 1
+    pieces.append((UNREFINED, text[end:]))
+    return [p for p in pieces if p[1]]
 
 
 def _loop_udf(stages: list[tuple[Pattern, int]]):

@@ -10,48 +10,52 @@ from pyspark.sql import functions as F
 
 from ..config import SPECIAL_BLACK, SPECIAL_WHITE, ParserConfig
 from ..functions.tokens import of_kinds
+from ..plans.tables import BROADCAST, stored
 from .stats import dependencies, occurrences
 
 
-def largest_component(n: int, edges: list[tuple[int, int]]) -> list[int]:
-    """Nodes of the largest strongly connected component of nodes 0..n-1.
+def _leaving_order(n: int, out: list[list[int]]) -> list[int]:
+    """Nodes in order of when a depth-first walk leaves them: roots and neighbours in ascending order."""
+    left: list[int] = []
+    state = [0] * n  # the next neighbour to look at; -1 once left
+    path: list[int] = []
+    entered = [False] * n
+    for root in range(n):
+        if not entered[root]:
+            entered[root] = True
+            path.append(root)
+        while path:
+            node = path[-1]
+            onward = next((k for k in range(state[node], len(out[node])) if not entered[out[node][k]]), None)
+            if onward is None:
+                left.append(path.pop())
+            else:
+                state[node] = onward + 1
+                entered[out[node][onward]] = True
+                path.append(out[node][onward])
+    return left
 
-    Two passes: nodes in order of when a depth-first walk leaves them, from 0 on and along ascending edges; then, the
-    last first, all that reaches a node. Of components of one size, the first found in that order is taken.
-    """
-    out, back = [[] for _ in range(n)], [[] for _ in range(n)]
+
+def largest_component(n: int, edges: list[tuple[int, int]]) -> list[int]:
+    """Nodes of the largest strongly connected component of nodes 0..n-1; of several, the one that has the node which
+    the walk leaves last. That node belongs to a component that is complete once all that reaches it is collected, so
+    components come in that order."""
+    out, back = [[] for _ in range(n)], [set() for _ in range(n)]
     for a, b in sorted(set(edges)):
         out[a].append(b)
-        back[b].append(a)
-    seen, left = [False] * n, []
-    for root in range(n):
-        if seen[root]:
-            continue
-        seen[root], walk = True, [(root, iter(out[root]))]
-        while walk:
-            node, rest = walk[-1]
-            for nxt in rest:
-                if not seen[nxt]:
-                    seen[nxt] = True
-                    walk.append((nxt, iter(out[nxt])))
-                    break
-            else:
-                left.append(node)
-                walk.pop()
-    best, taken = [], [False] * n
-    for root in reversed(left):
-        if taken[root]:
+        back[b].add(a)
+    best: set[int] = set()
+    free = set(range(n))
+    for root in reversed(_leaving_order(n, out)):
+        if root not in free:
             continue
-        taken[root], found, todo = True, [], [root]
-        while todo:
-            node = todo.pop()
-            found.append(node)
-            for prev in back[node]:
-                if not taken[prev]:
-                    taken[prev] = True
-                    todo.append(prev)
-        if len(found) > len(best):
-            best = found
+        reach, fresh = {root}, {root}
+        while fresh:
+            fresh = set().union(*(back[x] for x in fresh)) & free - reach
+            reach |= fresh
+        free -= reach
+        if len(reach) > len(best):
+            best = reach
     return sorted(best)
 
 
@@ -77,11 +81,27 @@ def row_nodes(lines: DataFrame, config: ParserConfig) -> DataFrame:
 
 
 def with_anchors(lines: DataFrame, config: ParserConfig) -> DataFrame:
-    """``lines`` (msg, w, first, tokens, kept) with anchors: sorted structs of kind and slice, empty where none."""
-    edges = dependencies(lines, config.threshold).select("a", "b", "ab", "ba")
-    nodes = row_nodes(lines, config)
-    each = nodes.select("first", F.posexplode("nodes").alias("i", "t"), "nodes").select("first", "i", F.col("t.slice").alias("s"), F.posexplode("nodes").alias("j", "u")).where("i < j")
-    pairs = each.select("first", "i", "j", F.least("s", "u.slice").alias("a"), F.greatest("s", "u.slice").alias("b"), (F.col("s") <= F.col("u.slice")).alias("up"))
+    """``lines`` (msg, w, first, tokens, kept; a written table) with anchors: sorted structs of kind and slice, empty
+    where none.
+
+    Edges are written once. Where few tokens depend on others the edges are broadcast, and pairs of a line's nodes meet
+    them without a shuffle; otherwise nodes that no edge has are dropped before pairs are made.
+    """
+    edges = stored(dependencies(lines, config.threshold).select("a", "b", "ab", "ba"), "edges")
+    size = edges.agg(F.coalesce(F.sum(F.octet_length("a") + F.octet_length("b") + 64), F.lit(0))).first()[0]
+    nodes = row_nodes(lines, config).select("first", "tokens", "nodes")
+    each = nodes.select("first", F.posexplode("nodes").alias("i", "t"), "nodes").select("first", "i", F.col("t.slice").alias("s"), "nodes")
+    if size <= BROADCAST:
+        edges = F.broadcast(edges)
+    else:
+        live = edges.select(F.col("a").alias("s")).union(edges.select("b")).distinct()
+        each = each.drop("nodes").join(live, "s", "left_semi")
+        each = each.join(each.groupBy("first").agg(F.collect_list(F.struct("i", "s")).alias("rest")), "first")  # at most one line's
+    if size <= BROADCAST:
+        other = each.select("first", "i", "s", F.posexplode("nodes").alias("j", "u")).select("first", "i", "s", "j", F.col("u.slice").alias("u"))
+    else:
+        other = each.select("first", "i", "s", F.explode("rest").alias("x")).select("first", "i", "s", F.col("x.i").alias("j"), F.col("x.s").alias("u"))
+    pairs = other.where("i < j").select("first", "i", "j", F.least("s", "u").alias("a"), F.greatest("s", "u").alias("b"), (F.col("s") <= F.col("u")).alias("up"))
     hit = pairs.join(edges, ["a", "b"])
     forth, back = F.when(F.col("up"), F.col("ab")).otherwise(F.col("ba")), F.when(F.col("up"), F.col("ba")).otherwise(F.col("ab"))
     ways = F.array(F.when(forth, F.struct(F.col("i").alias("src"), F.col("j").alias("dst"))), F.when(back, F.struct(F.col("j").alias("src"), F.col("i").alias("dst"))))
@@ -91,4 +111,4 @@ def with_anchors(lines: DataFrame, config: ParserConfig) -> DataFrame:
     if config.special_whites or config.special_blacks:
         white, black = of_kinds(F.col("tokens"), (SPECIAL_WHITE,)), of_kinds(F.col("tokens"), (SPECIAL_BLACK,))
         own = F.when(F.size("nodes") > 0, F.array_except(F.array_union(own, white), black)).otherwise(own)
-    return found.withColumn("anchors", F.array_sort(own)).drop("_in")
+    return lines.join(found.select("first", "nodes", F.array_sort(own).alias("anchors")), "first")

@@ -9,6 +9,7 @@ from ..config import ParserConfig
 from ..functions.templates import arguments, decode, normalize_template, template_parts
 from ..plans.parser import LogParser, ParseResult
 from ..plans.ranking import numbered
+from ..plans.tables import stored
 
 
 class CorpusCodec:
@@ -28,14 +29,15 @@ class CorpusCodec:
         whole = F.array_join(F.transform("rich", lambda t: t["slice"]), "") == F.col("msg")
         shown = parsed.rendered.where(whole).select("msg", "template", arguments(F.col("rich"), F.col("common")).alias("args"))
         lines = first.join(shown, "msg", "left").withColumn("own", F.col("template").isNull())
-        lines = lines.select("msg", "first", "own", F.coalesce("template", "msg").alias("template"), F.coalesce("args", F.array().cast("array<string>")).alias("args")).persist()
+        lines = lines.select("msg", "first", "own", F.coalesce("template", "msg").alias("template"), F.coalesce("args", F.array().cast("array<string>")).alias("args"))
+        lines = stored(lines, "codec-lines")
         sets = parsed.templates.select("cluster_id", F.posexplode("templates").alias("pos", "template"))
         sets = sets.withColumn("template", normalize_template(F.col("template")))
         order = sets.groupBy("template").agg(F.min(F.struct(F.lit(0).alias("late"), F.col("cluster_id").cast("long").alias("at"), F.col("pos").cast("long").alias("pos"))).alias("o"))
         rest = lines.groupBy("template").agg(F.min(F.struct(F.lit(1).alias("late"), F.col("first").alias("at"), F.lit(0).cast("long").alias("pos"))).alias("o"))
         both = order.union(rest).groupBy("template").agg(F.min("o").alias("o"))
-        templates = numbered(both, [F.col("o")], "template_id").select(F.col("template_id").cast("int").alias("template_id"), "template").persist()
-        return cls(lines.join(templates, "template").select("msg", "template_id", "args"), templates)
+        templates = numbered(both, [F.col("o")], "template_id").select(F.col("template_id").cast("int").alias("template_id"), "template")
+        return cls(stored(lines.join(templates, "template").select("msg", "template_id", "args"), "codec"), templates)
 
     def encode(self, messages: DataFrame) -> DataFrame:
         """``messages`` (with a column msg) with template_id and args; -1 and null for lines that aren't known."""

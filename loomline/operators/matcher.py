@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import PLACEHOLDER
 from ..functions.templates import normalized, template_regex
+from ..plans.tables import BROADCAST
 
 SCHEMA = "template_id int, template string, n_ph int, literal_bytes int, min_len int, first string, last string, middle string, rank int, regex string"
 
@@ -44,6 +45,53 @@ def compile_templates(templates) -> list[Template]:
     return [Template(*f, order[f[0]], template_regex(f[1])) for f in found]
 
 
+class TemplateIndex:
+    """Templates by what a message must have to match: the whole text, the first literal, the last one, or one between.
+    A look-up costs as many steps as there are lengths of such literals, not as there are templates."""
+
+    def __init__(self, compiled: list[Template]):
+        self.exact = {t.template: t.template_id for t in compiled if t.n_ph == 0}
+        self.first, self.last, self.middle = {}, {}, {}
+        for t in sorted(compiled, key=lambda t: t.rank):
+            if t.n_ph:
+                way = self.first if t.first else self.last if t.last else self.middle
+                if literal := t.first or t.last or t.middle:  # a lone placeholder matches nothing
+                    way.setdefault(literal, []).append((t.rank, t.template_id, t.template.split(PLACEHOLDER)))
+        self.lengths = [sorted({len(x) for x in way}) for way in (self.first, self.last, self.middle)]
+
+    def contained(self, msg: str) -> set[str]:
+        """The middle literals that stand in a message."""
+        return {x for n in self.lengths[2] for i in range(len(msg) - n + 1) if (x := msg[i : i + n]) in self.middle}
+
+    def candidates(self, msg: str) -> list[tuple[int, int, list[str]]]:
+        lists = [self.first.get(msg[:n]) for n in self.lengths[0] if n <= len(msg)]
+        lists += [self.last.get(msg[-n:]) for n in self.lengths[1] if n <= len(msg)]
+        lists += [self.middle[x] for x in self.contained(msg)] if self.middle else []
+        lists = [x for x in lists if x]
+        return lists[0] if len(lists) == 1 else sorted((t for x in lists for t in x), key=lambda t: t[0])
+
+    def best(self, msg: str | None) -> int:
+        if msg is None:
+            return -1
+        if msg in self.exact:
+            return self.exact[msg]
+        return next((i for _, i, parts in self.candidates(msg) if fits(parts, msg)), -1)
+
+
+def fits(parts: list[str], msg: str) -> bool:
+    """Whether literals, with something between any two, make up a message. Each is sought once, from where the one
+    before it ends."""
+    at = len(parts[0])
+    if not msg.startswith(parts[0]):
+        return False
+    for literal in parts[1:-1]:
+        found = msg.find(literal, at)
+        if found <= at:
+            return False
+        at = found + len(literal)
+    return msg.endswith(parts[-1]) and len(msg) - len(parts[-1]) > at
+
+
 class TemplateMatcher:
     """Templates are a small table: they are compiled on the driver. Messages stay distributed."""
 
@@ -58,6 +106,24 @@ class TemplateMatcher:
             sets = [r["templates"] for r in sets.orderBy("cluster_id").collect()]
         return cls(spark, [t for s in sets for t in s])
 
+    @property
+    def sent(self) -> DataFrame:
+        """The table, broadcast where its bytes allow."""
+        size = sum(2 * len(t.template) + 2 * len(t.regex) + 100 for t in self.compiled)
+        return F.broadcast(self.table) if size <= BROADCAST else self.table
+
+    def lookup(self):
+        """A function of messages that gives the number of the best template; its index is made once in each worker."""
+        sent, made = self.spark.sparkContext.broadcast(self.compiled), []
+
+        @F.pandas_udf("int")
+        def run(messages: pd.Series) -> pd.Series:
+            if not made:
+                made.append(TemplateIndex(sent.value))
+            return messages.map(made[0].best, na_action=None).astype("int32")
+
+        return run
+
     def templates(self) -> list[str]:
         return [t.template for t in self.compiled]
 
@@ -66,7 +132,7 @@ class TemplateMatcher:
         between. Each way is an equality join on a prefix or suffix of the few lengths there are, but for the last,
         which looks for the literals of all such templates at once."""
         take = ["template_id", "n_ph", "min_len", "rank", "regex"]
-        t = F.broadcast(self.table) if len(self.compiled) <= 10_000 else self.table
+        t = self.sent
         out = lines.join(t.where("n_ph = 0").withColumnRenamed("template", "msg"), "msg").select("msg", *take)
         firsts = sorted({len(x.first) for x in self.compiled if x.n_ph and x.first})
         if firsts:
@@ -92,8 +158,7 @@ class TemplateMatcher:
     def match(self, messages: DataFrame) -> DataFrame:
         """``match_ids`` with args: what stands for each placeholder; null where none matches."""
         found = self.match_ids(messages)
-        t = self.table.select("template_id", "regex", "n_ph")
-        found = found.join(F.broadcast(t) if len(self.compiled) <= 10_000 else t, "template_id", "left")
+        found = found.join(self.sent.select("template_id", "regex", "n_ph"), "template_id", "left")
         args = F.expr("transform(sequence(1, greatest(n_ph, 1)), i -> regexp_extract(msg, regex, cast(if(n_ph = 0, 0, i) as int)))")
         args = F.when(F.col("n_ph") == 0, F.array().cast("array<string>")).otherwise(args)
         return found.withColumn("args", F.when(F.col("template_id") >= 0, args)).drop("regex", "n_ph")
@@ -107,7 +172,9 @@ def _contained(literals: list[str]):
         try:
             import ahocorasick
         except ImportError:
-            return texts.map(lambda t: [x for x in literals if x in t])
+            index = TemplateIndex([])
+            index.middle, index.lengths[2] = dict.fromkeys(literals), sorted({len(x) for x in literals})
+            return texts.map(lambda t: sorted(index.contained(t)))
         tree = ahocorasick.Automaton()
         for x in literals:
             tree.add_word(x, x)

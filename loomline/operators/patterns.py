@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ParserConfig
 from ..functions.templates import render
 from ..functions.tokens import of_kinds, slices
+from ..plans.ranking import numbered
 
 
 def is_sampled(position: Column, n: Column, sample: float) -> Column:
@@ -21,12 +22,13 @@ def is_sampled(position: Column, n: Column, sample: float) -> Column:
 
 
 def pattern_lines(assigned: DataFrame, messages: DataFrame, sample: float) -> DataFrame:
-    """The lines that patterns are made from: positions count messages in order of idx, repeats each."""
+    """The lines that patterns are made from: positions count messages in order of idx, repeats each. A position is a
+    number in the order of clusters and idx, less the first of its cluster, so that no cluster is sorted in one task."""
     if sample >= 1:
         return assigned
-    each = messages.join(assigned.select("msg", "cluster_id"), "msg")
-    of = Window.partitionBy("cluster_id")
-    placed = each.withColumn("_p", F.row_number().over(of.orderBy("idx")) - 1).withColumn("_n", F.count("*").over(of))
+    each = numbered(messages.join(assigned.select("msg", "cluster_id"), "msg").select("cluster_id", "idx", "msg"), [F.col("cluster_id"), F.col("idx")], "_i")
+    of = each.groupBy("cluster_id").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    placed = each.join(of, "cluster_id").withColumn("_p", F.col("_i") - F.col("_first"))
     chosen = placed.where(is_sampled(F.col("_p"), F.col("_n"), sample)).select("msg").distinct()
     return assigned.join(chosen, "msg", "left_semi")
 

@@ -15,6 +15,7 @@ from ..operators.anchors import with_anchors
 from ..operators.patterns import cluster_templates, common_slices, pattern_lines
 from ..operators.stats import distinct_lines, tokenized
 from .ranking import numbered
+from .tables import release, stored
 
 
 @dataclass
@@ -26,26 +27,35 @@ class ParseResult:
 
     @cached_property
     def lines(self) -> DataFrame:
-        """The distinct lines with tokens and anchors."""
-        return with_anchors(tokenized(distinct_lines(self.messages), self.config), self.config)
+        """The distinct lines with tokens and anchors: tokenized once, and written with what follows from all of them."""
+        lines = stored(tokenized(distinct_lines(self.messages), self.config), "lines")
+        found = stored(with_anchors(lines, self.config).select("msg", "w", "first", "tokens", "anchors"), "anchors")
+        release(lines)
+        return found
+
+    def release(self) -> None:
+        """Deletes what was written for this result, whose tables can't be read after that."""
+        for name in ("lines", "assigned", "rich", "common"):
+            if name in self.__dict__:
+                release(self.__dict__.pop(name))
 
     @cached_property
     def assigned(self) -> DataFrame:
         """The clustered lines: msg, tokens, anchors, cluster_id. Clusters are numbered by their sorted anchors."""
-        found = self.lines.where(F.size("anchors") > 0).select("msg", "first", "tokens", "anchors").persist()
+        found = self.lines.where(F.size("anchors") > 0).select("msg", "first", "tokens", "anchors")
         keys = numbered(found.select("anchors").distinct(), [F.col("anchors")], "cluster_id")
         return found.join(keys.withColumn("cluster_id", F.col("cluster_id").cast("int")), "anchors")
 
     @cached_property
     def rich(self) -> DataFrame:
-        """The clustered lines with rich tokens: all punctuation as symbols."""
+        """The clustered lines with rich tokens: all punctuation as symbols. Written once."""
         same = set(self.config.symbols) == set(RICH_SYMBOLS)
-        return self.assigned.withColumn("rich", F.col("tokens") if same else tokenize(F.col("msg"), self.config, rich=True))
+        return stored(self.assigned.select("msg", "cluster_id", "tokens").withColumn("rich", F.col("tokens") if same else tokenize(F.col("msg"), self.config, rich=True)).drop("tokens"), "rich")
 
     @cached_property
     def common(self) -> DataFrame:
         """cluster_id and common: what every line that patterns are made from has."""
-        return common_slices(pattern_lines(self.rich, self.messages, self.config.pattern_sample), self.config)
+        return stored(common_slices(pattern_lines(self.rich, self.messages, self.config.pattern_sample), self.config), "common")
 
     @cached_property
     def clusters(self) -> DataFrame:

@@ -14,15 +14,17 @@ from ..plans.parser import LogParser, ParseResult
 
 def match_stream(stream: DataFrame, matcher: TemplateMatcher) -> DataFrame:
     """``stream`` (with a column msg) with template_id, -1 where none matches: no state, so rows come out as they come
-    in. The templates, a small table, are tried in the order of their ranks inside one expression."""
-    best = F.lit(-1)
-    for t in sorted((t for t in matcher.compiled if t.template != "<*>"), key=lambda t: (t.n_ph == 0, -t.rank)):
-        hit = F.col("msg") == t.template if t.n_ph == 0 else F.col("msg").rlike(t.regex)
-        best = F.when(hit, t.template_id).otherwise(best)
-    return stream.withColumn("template_id", best.cast("int"))
+    in. Each batch is looked up in the templates' index, however many there are."""
+    return stream.withColumn("template_id", matcher.lookup()(F.col("msg")))
 
 
 def parse_batches(stream: DataFrame, config: ParserConfig, use: Callable[[ParseResult, int], None], **options: str):
     """Starts a query that parses each micro-batch (idx, msg) as a corpus of its own: more lines change counts, so
-    clusters of one batch say nothing of another's."""
-    return stream.writeStream.options(**options).foreachBatch(lambda df, n: use(LogParser(config).parse(df), n)).start()
+    clusters of one batch say nothing of another's. What a batch's result wrote is deleted after ``use``."""
+
+    def run(df: DataFrame, n: int) -> None:
+        found = LogParser(config).parse(df, "msg", "idx")
+        use(found, n)
+        found.release()
+
+    return stream.writeStream.options(**options).foreachBatch(run).start()

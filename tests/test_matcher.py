@@ -5,14 +5,15 @@ import json
 import random
 
 import pytest
+import regex
 
 from loomline.__main__ import run
 from loomline.config import ParserConfig
 from loomline.functions.regexes import compile_pattern, compile_patterns, union_pattern
 from loomline.functions.sql import register
-from loomline.functions.tokens import pre_tokens, tokenize
+from loomline.functions.tokens import pre_tokens, split_loop, tokenize
 from loomline.operators.codec import CorpusCodec
-from loomline.operators.matcher import TemplateMatcher, compile_templates
+from loomline.operators.matcher import TemplateIndex, TemplateMatcher, compile_templates
 from loomline.plans.parser import LogParser
 from loomline.sources.text import read_lines, write_json
 from loomline.streaming.stream import match_stream, parse_batches
@@ -45,17 +46,23 @@ def plain_match(compiled, msg):
     return best[1:] if best else (-1, None)
 
 
+SHELVES = ["shelf <*> row <*>", "<*> is empty", "<*>", "closed today"]
 CASES = [
-    (["a <*> b", "c <*> d"], "a x1 b", 0, ["x1"]),
-    (["a <*> b", "c <*> d"], "z x1 y", -1, None),
-    (["a <*>", "a <*> b"], "a x b", 1, ["x"]),
-    (["<*> error <*>", "<*> timeout", "<*>", "fixed line"], "node-1 error failed", 0, ["node-1", "failed"]),
-    (["<*> error <*>", "<*> timeout", "<*>", "fixed line"], "fixed line", 3, []),
-    (["<*> error <*>", "<*> timeout", "<*>", "fixed line"], "node timeout", 1, ["node"]),
-    (["<*>abc<*>", "<*>bc<*>"], "xxabczz", 0, ["xx", "zz"]),
-    (["<*>"], "anything", -1, None),
-    (["a<*>b<*>c"], "abxbyc", -1, None),
-    (["", "x<*>"], "", 0, []),
+    (["take <*> now", "put <*> back"], "put the lamp back", 1, ["the lamp"]),
+    (["take <*> now", "put <*> back"], "take back", -1, None),
+    (["take <*>", "take <*> now"], "take it now", 1, ["it"]),  # more literal bytes first
+    (["<*> of <*>", "<*> of"], "a of", 1, ["a"]),
+    (["<*>=<*>", "<*>=<*>;<*>"], "k=v;w", 1, ["k", "v", "w"]),
+    (["up <*>", "<*> up"], "up up", 0, ["up"]),  # the smaller number last
+    (SHELVES, "shelf 4 row 9", 0, ["4", "9"]),
+    (SHELVES, "closed today", 3, []),
+    (SHELVES, "shelf 4 is empty", 1, ["shelf 4"]),
+    (SHELVES, "nothing else", -1, None),  # a lone placeholder is no template of anything
+    (["<*>one<*>", "<*>tone<*>"], "a stone wall", 1, ["a s", " wall"]),
+    (["x<*>y<*>z"], "xyayz", -1, None),  # nothing stands before the first y, and no other is tried
+    (["x<*>y<*>z"], "xayyz", 0, ["a", "y"]),
+    (["", "q<*>"], "", 0, []),
+    (["q<*>"], "q", -1, None),
 ]
 
 
@@ -63,7 +70,7 @@ def test_cases(spark):
     for templates, msg, want, args in CASES:
         got = TemplateMatcher(spark, templates).match(spark.createDataFrame([(msg,)], "msg string")).collect()
         assert [(r.template_id, r.args) for r in got] == [(want, args)], (templates, msg)
-    assert TemplateMatcher.from_template_sets(spark, [["a <*><*> b", "c <*> d"], ["c <*> d"]]).templates() == ["a <*> b", "c <*> d"]
+    assert TemplateMatcher.from_template_sets(spark, [["on <*><*><*> at", "off"], ["off", "on <*> at"], []]).templates() == ["on <*> at", "off"]
 
 
 def test_random_matches(spark):
@@ -84,16 +91,16 @@ def test_random_matches(spark):
 
 
 def test_codec(spark):
-    lines = DEFAULT + ["fixed line", "totally_unique_12345_value", "", DEFAULT[0]]
+    lines = DEFAULT + ["no cluster of 1", "77_88", "", DEFAULT[0]]
     df = spark.createDataFrame(list(enumerate(lines)), "idx long, msg string")
     codec = CorpusCodec.fit(df)
     coded = codec.encode(df)
     assert sorted(r.msg for r in codec.decode(coded.drop("msg")).collect()) == sorted(lines)
     ids = {r.msg: (r.template_id, r.args) for r in coded.collect()}
-    assert len({v[0] for v in ids.values()}) == 6 and ids["totally_unique_12345_value"][1] == []
-    ask = spark.createDataFrame([("not in corpus",)], "msg string")
+    assert len({v[0] for v in ids.values()}) == 6 and ids["77_88"][1] == []
+    ask = spark.createDataFrame([("never seen",)], "msg string")
     assert [(r.template_id, r.args) for r in codec.encode(ask).collect()] == [(-1, None)]
-    bad = spark.createDataFrame([(-1, ["x"]), (999, ["x"]), (ids["c x1 d"][0], []), (ids["c x1 d"][0], ["q"])], "template_id int, args array<string>")
+    bad = spark.createDataFrame([(-1, ["x"]), (4321, ["x"]), (ids["c x1 d"][0], []), (ids["c x1 d"][0], ["q"])], "template_id int, args array<string>")
     assert sorted(str(r.msg) for r in codec.decode(bad).collect()) == ["None", "None", "None", "c q d"]
 
 
@@ -105,19 +112,31 @@ def test_codec_of_odd_lines(spark):
 
 
 def test_tokens(spark):
-    config = ParserConfig(symbols=".", special_whites=[r"fan_\d+"], special_blacks=[r"\d+\.\d+"])
-    df = spark.createDataFrame([("Fan fan_2 speed is set to 12.3114 on machine sys.node.fan_3 on node 12", "This 10001.2 is 1.323 a 1.4411 message")], "a string, b string")
+    config = ParserConfig(symbols=".", special_whites=[r"bay_\d+"], special_blacks=[r"\d+,\d+"])
+    df = spark.createDataFrame([("bay_7 holds 3,25 t at dock.bay_12.b", "n 8,5 and n 9 or 7,0")], "a string, b string")
     got = [(t.kind, t.slice) for t in df.select(tokenize(df.a, config).alias("t")).first().t]
-    assert len(got) == 29 and got[2] == (5, "fan_2") and got[12] == (6, "12.3114") and got[-1] == (1, "12") and got[19] == (2, ".")
-    config = ParserConfig(symbols="", special_whites=[r"\ba\b"], special_blacks=[r"\d+\.\d+"])
+    space = (3, " ")
+    assert got == [(5, "bay_7"), space, (0, "holds"), space, (6, "3,25"), space, (0, "t"), space, (0, "at"), space, (0, "dock"), (2, "."), (5, "bay_12"), (2, "."), (0, "b")]
+    config = ParserConfig(symbols="", special_whites=[r"\bn\b"], special_blacks=[r"\d+,\d+"])
     got = [(t.kind, t.slice) for t in df.select(pre_tokens(df.b, config).alias("t")).first().t]
-    assert got == [(-1, "This "), (6, "10001.2"), (-1, " is "), (6, "1.323"), (-1, " "), (5, "a"), (-1, " "), (6, "1.4411"), (-1, " message")]
+    assert got == [(5, "n"), (-1, " "), (6, "8,5"), (-1, " and "), (5, "n"), (-1, " 9 or "), (6, "7,0")]
+
+
+@pytest.mark.parametrize("pattern,text,want", [
+    ("^x", "xxyx", [(5, "x"), (5, "x"), (-1, "yx")]),  # anchors hold anew in what is left
+    ("x*", "abc", [(-1, "abc")]),  # only empty matches: the text stays whole
+    ("x*", "abxxcd", [(5, "xx")]),  # what empty matches pass over is lost, before the match and after it
+    ("x+|$", "axb", [(-1, "a"), (5, "x"), (-1, "b")]),
+    (r"\bx", "x-x", [(5, "x"), (-1, "-"), (5, "x")]),
+])
+def test_searching_what_is_left(pattern, text, want):
+    assert split_loop(text, regex.compile(pattern, regex.ASCII).search, 5) == want
 
 
 def test_patterns(spark):
-    p = union_pattern(r"\d+", "[a-zA-Z]+")
-    rows = spark.createDataFrame([("123",), ("abc",), ("ABC",), ("@",), ("#",)], "s string")
-    assert [r.s for r in rows.where(rows.s.rlike(p.java)).collect()] == ["123", "abc", "ABC"]
+    p = union_pattern("[0-3]+", "[x-z]+")
+    rows = spark.createDataFrame([("12",), ("zy",), ("ab",), ("9",), ("a1",)], "s string")
+    assert sorted(r.s for r in rows.where(rows.s.rlike(p.java)).collect()) == ["12", "a1", "zy"]
     for bad in (r"(?=x)", r"(a)\1", "(", "a++", "(?>a)", "[[:nope:]]"):
         with pytest.raises(ValueError):
             compile_patterns(["ok", bad])
@@ -151,6 +170,27 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json/messages")).count() == 8 and spark.read.json(str(tmp_path / "json/templates")).count() == 2
 
 
+def test_many_templates(spark, monkeypatch):
+    """5,000 templates that are found by whole texts and by each kind of literal: all ways of matching agree."""
+    r = random.Random(3)
+    templates = [t for i in range(1000) for t in (f"task {i} took <*> s", f"<*> left {i}", f"<*> of unit{i}- on <*>", f"done {i}", f"<*> k{i}= <*> end")]
+    make = [lambda i: f"task {i} took {r.random()} s", lambda i: f"all left {i}", lambda i: f"half of unit{i}- on {i}", lambda i: f"done {i}", lambda i: f"a k{i}= b end", lambda i: f"none {i}"]
+    df = spark.createDataFrame([(i, r.choice(make)(r.randrange(1100))) for i in range(600)] + [(600, None)], "idx long, msg string")
+    m = TemplateMatcher(spark, templates)
+    want = {x.idx: x.template_id for x in m.match_ids(df).collect()}
+    assert len(want) == 601 and len(set(want.values())) > 300
+    assert {x.idx: x.template_id for x in match_stream(df, m).collect()} == want
+    import sys
+
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    index = TemplateIndex(m.compiled)
+    assert {x.idx: index.best(x.msg) for x in df.collect()} == want
+    register(spark, m, ParserConfig(symbols="="))
+    df.createOrReplaceTempView("many")
+    assert {x.idx: x.t for x in spark.sql("select idx, log_match(msg) t from many").collect()} == want
+    assert spark.sql("select log_tokenize('a  k1=b') t").first().t == ["a", " ", " ", "k1", "=", "b"]
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame(list(enumerate(DEFAULT + ["no match"])), "idx long, msg string").coalesce(1).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema("idx long, msg string").json(str(tmp_path / "in"))
