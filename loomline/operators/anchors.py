@@ -61,10 +61,21 @@ def largest_component(n: int, edges: list[tuple[int, int]]) -> list[int]:
 
 @cache
 def _component_udf():
-    """``largest_component`` of rows with edges; without any, every node is alone and the last one is first in order."""
+    """``largest_component`` of rows with edges, each written as src * n + dst, in order; without any, every node is
+    alone and the last one is first in order. Lines of one shape have one graph, so answers are kept for a while."""
 
     def run(n: pd.Series, edges: pd.Series) -> pd.Series:
-        return pd.Series([[k - 1] if e is None or not len(e) else largest_component(k, [(x["src"], x["dst"]) for x in e]) for k, e in zip(n, edges, strict=True)], dtype=object)
+        known: dict[tuple[int, bytes], list[int]] = {}
+
+        def one(k: int, e) -> list[int]:
+            if e is None or not len(e):
+                return [k - 1]
+            key = (k, e.tobytes())
+            if key not in known:
+                known[key] = largest_component(k, [divmod(x, k) for x in e.tolist()])
+            return known[key]
+
+        return pd.Series([one(k, e) for k, e in zip(n, edges, strict=True)], dtype=object)
 
     return F.pandas_udf(run, "array<int>")
 
@@ -90,7 +101,7 @@ def with_anchors(lines: DataFrame, config: ParserConfig) -> DataFrame:
     edges = stored(dependencies(lines, config.threshold).select("a", "b", "ab", "ba"), "edges")
     size = edges.agg(F.coalesce(F.sum(F.octet_length("a") + F.octet_length("b") + 64), F.lit(0))).first()[0]
     nodes = row_nodes(lines, config).select("first", "tokens", "nodes")
-    each = nodes.select("first", F.posexplode("nodes").alias("i", "t"), "nodes").select("first", "i", F.col("t.slice").alias("s"), "nodes")
+    each = nodes.select("first", F.posexplode("nodes").alias("i", "t"), "nodes").select("first", F.size("nodes").alias("n"), "i", F.col("t.slice").alias("s"), "nodes")
     if size <= BROADCAST:
         edges = F.broadcast(edges)
     else:
@@ -98,14 +109,15 @@ def with_anchors(lines: DataFrame, config: ParserConfig) -> DataFrame:
         each = each.drop("nodes").join(live, "s", "left_semi")
         each = each.join(each.groupBy("first").agg(F.collect_list(F.struct("i", "s")).alias("rest")), "first")  # at most one line's
     if size <= BROADCAST:
-        other = each.select("first", "i", "s", F.posexplode("nodes").alias("j", "u")).select("first", "i", "s", "j", F.col("u.slice").alias("u"))
+        other = each.select("first", "n", "i", "s", F.posexplode("nodes").alias("j", "u")).select("first", "n", "i", "s", "j", F.col("u.slice").alias("u"))
     else:
-        other = each.select("first", "i", "s", F.explode("rest").alias("x")).select("first", "i", "s", F.col("x.i").alias("j"), F.col("x.s").alias("u"))
-    pairs = other.where("i < j").select("first", "i", "j", F.least("s", "u").alias("a"), F.greatest("s", "u").alias("b"), (F.col("s") <= F.col("u")).alias("up"))
+        other = each.select("first", "n", "i", "s", F.explode("rest").alias("x")).select("first", "n", "i", "s", F.col("x.i").alias("j"), F.col("x.s").alias("u"))
+    pairs = other.where("i < j").select("first", "n", "i", "j", F.least("s", "u").alias("a"), F.greatest("s", "u").alias("b"), (F.col("s") <= F.col("u")).alias("up"))
     hit = pairs.join(edges, ["a", "b"])
     forth, back = F.when(F.col("up"), F.col("ab")).otherwise(F.col("ba")), F.when(F.col("up"), F.col("ba")).otherwise(F.col("ab"))
-    ways = F.array(F.when(forth, F.struct(F.col("i").alias("src"), F.col("j").alias("dst"))), F.when(back, F.struct(F.col("j").alias("src"), F.col("i").alias("dst"))))
-    graph = hit.select("first", F.explode(F.filter(ways, lambda e: e.isNotNull())).alias("e")).groupBy("first").agg(F.collect_list("e").alias("edges"))
+    n = F.col("n").cast("long")
+    ways = F.array(F.when(forth, F.col("i") * n + F.col("j")), F.when(back, F.col("j") * n + F.col("i")))
+    graph = hit.select("first", F.explode(F.filter(ways, lambda e: e.isNotNull())).alias("e")).groupBy("first").agg(F.sort_array(F.collect_list("e")).alias("edges"))
     found = nodes.join(graph, "first", "left").withColumn("_in", F.when(F.size("nodes") > 0, _component_udf()(F.size("nodes"), F.col("edges"))))
     own = F.coalesce(F.transform("_in", lambda i: F.get("nodes", i)), F.array().cast("array<struct<kind:tinyint,slice:string>>"))
     if config.special_whites or config.special_blacks:

@@ -15,7 +15,7 @@ from ..operators.anchors import with_anchors
 from ..operators.patterns import cluster_templates, common_slices, pattern_lines
 from ..operators.stats import distinct_lines, tokenized
 from .ranking import numbered
-from .tables import release, stored
+from .tables import BROADCAST, release, stored
 
 
 @dataclass
@@ -43,8 +43,10 @@ class ParseResult:
     def assigned(self) -> DataFrame:
         """The clustered lines: msg, tokens, anchors, cluster_id. Clusters are numbered by their sorted anchors."""
         found = self.lines.where(F.size("anchors") > 0).select("msg", "first", "tokens", "anchors")
-        keys = numbered(found.select("anchors").distinct(), [F.col("anchors")], "cluster_id")
-        return found.join(keys.withColumn("cluster_id", F.col("cluster_id").cast("int")), "anchors")
+        keys = numbered(found.select("anchors").distinct(), [F.col("anchors")], "cluster_id").withColumn("cluster_id", F.col("cluster_id").cast("int"))
+        # A cluster may hold most lines: where the keys' bytes allow, lines don't move to them.
+        size = keys.agg(F.sum(F.aggregate("anchors", F.lit(32), lambda a, t: a + F.octet_length(t["slice"]) + 32))).first()[0] or 0
+        return found.join(F.broadcast(keys) if size <= BROADCAST else keys, "anchors")
 
     @cached_property
     def rich(self) -> DataFrame:
