@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import unicodedata
 import uuid
 from array import array
@@ -16,6 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import release as remove
+from ..plans.tables import shared_dir
+from ..plans.tables import stored as written
+
+__all__ = ["remove", "shared_dir", "written"]
+
 #: A word is a maximal run of anything but these six white-space bytes; ``bytes.split()`` cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,37 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="loomline-")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomline-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Deletes the files of a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/loomline-" in top:
-            path = spark._jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

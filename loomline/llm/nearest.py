@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranking import numbered
 from .common import written
 from .vectors import bits, rotation, usable
 
@@ -120,7 +121,7 @@ def search_block(model: Hashing, ids: np.ndarray, x: np.ndarray, index: Index, q
             if len(found) >= k or radius >= model.n_bits:
                 break
             radius = min(model.n_bits, radius + max(4, model.n_bits // 16))
-        score = x[found] @ queries[i]
+        score = (x[found] * queries[i]).sum(1)  # in one order, so that equal vectors have equal scores
         order = np.lexsort((ids[found], -score))[:k]
         for o, v in zip(out, (np.full(len(order), i), ids[found][order], score[order]), strict=True):
             o.append(v)
@@ -166,11 +167,11 @@ def _search(rows: DataFrame, dim: int, largest: float, k: int, seed: int, n_rows
         return run
 
     schema = "ids binary, x binary"
-    base = written(rows.select("vec_id", "x").mapInArrow(blocks(n_rows), schema).withColumn("block", F.monotonically_increasing_id()), "rows")
+    base = rows.select("vec_id", "x").mapInArrow(blocks(n_rows), schema).withColumn("_at", F.monotonically_increasing_id())
+    base = numbered(base, [F.col("_at")], "block").drop("_at")
     asked = rows.where("asks").select("vec_id", "x").distinct().mapInArrow(blocks(n_queries), schema)
     asked = written(asked.withColumn("q", F.monotonically_increasing_id()), "queries")
-    numbers = base.select("block")
-    met = asked.select("q", F.col("ids").alias("q_ids"), F.col("x").alias("q_x")).withColumn("block", F.explode(F.lit([r[0] for r in numbers.collect()]).cast("array<long>")))
+    met = asked.select("q", F.col("ids").alias("q_ids"), F.col("x").alias("q_x")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(base.count() - 1).cast("long"))))
     pairs = met.join(base, "block").sortWithinPartitions("block")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

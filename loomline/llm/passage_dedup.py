@@ -106,16 +106,16 @@ def _removed(docs: DataFrame, row: Column, with_text: bool, shard: int = SHARD,
                     for j, apart in zip(on.tolist(), split.tolist(), strict=True):
                         f, e = int(first[j]), int(end[j])
                         if not apart:
-                            out.append((int(mix(anchor[j : j + 1])[0] % np.uint64(shards)), int(name[j].view(np.int64)), 0, ids[i], low[f : e + WINDOW - 1]))
+                            out.append((int(mix(anchor[j : j + 1])[0] % np.uint64(shards)), int(name[j].view(np.int64)), 0, ids[i], low[f : e + WINDOW - 1], int(anchor[j].view(np.int64))))
                             continue
                         own = region_names(h, np.arange(f, e), np.arange(f + 1, e + 1))
                         for w in range(f, e):
-                            out.append((int(mix(own[w - f : w - f + 1])[0] % np.uint64(shards)), int(name[j].view(np.int64)), w - f + 1, ids[i], low[w : w + WINDOW]))
+                            out.append((int(mix(own[w - f : w - f + 1])[0] % np.uint64(shards)), int(name[j].view(np.int64)), w - f + 1, ids[i], low[w : w + WINDOW], int(own[w - f].view(np.int64))))
                 if out:
                     pack = lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int64()), pa.array([pack(o[4]) for o in out], pa.binary())], ["shard", "region", "part", "doc_id", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int64()), pa.array([pack(o[4]) for o in out], pa.binary()), pa.array([o[5] for o in out], pa.int64())], ["shard", "region", "part", "doc_id", "words", "anchor"])
 
-    filed = slim.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(take, "shard int, region long, part int, doc_id long, words binary")
+    filed = slim.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(take, "shard int, region long, part int, doc_id long, words binary, anchor long")
 
     # 4. Each shard: which windows of a region start in a document before its first.
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,8 +124,8 @@ def _removed(docs: DataFrame, row: Column, with_text: bool, shard: int = SHARD,
         flat[:, :5] = np.concatenate(raw)
         words = np.split(flat.view("<u8")[:, 0], np.cumsum([len(r) for r in raw])[:-1])
         doc_ids = pdf["doc_id"].to_numpy(np.int64)
-        found = earlier_windows(words, doc_ids)
-        masks = [np.packbits(f < d, bitorder="little").tobytes() if (f < d).any() else None for f, d in zip(found, doc_ids, strict=True)]
+        found = earlier_windows(words, doc_ids, pdf["anchor"].to_numpy(np.int64))
+        masks = [np.packbits(f, bitorder="little").tobytes() if f is not None and f.any() else None for f in found]
         return pd.DataFrame({"region": pdf["region"], "part": pdf["part"], "least": doc_ids, "mask": pd.Series(masks, dtype=object)})
 
     hits = filed.groupBy("shard").applyInPandas(search, "region long, part int, least long, mask binary")

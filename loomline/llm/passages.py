@@ -3,10 +3,12 @@
 A passage is a window of ``WINDOW`` words. Each window is filed under its anchor, the k-gram of least hash in it, so
 that equal windows meet under one anchor; consecutive windows of one anchor are a region. Regions whose anchor occurs
 in several documents go, each distinct one once and with the smallest doc_id that has it, to the shard of their anchor.
-A shard is an FM-index: the Burrows-Wheeler transform of its regions in a wavelet tree. Regions are streamed through it
-by backward search; the matching statistic at each word is how far the text from there on matches the shard, cut at
-``WINDOW`` words, and with it comes the interval of suffixes that match. Of intervals as long as a window, the smallest
-doc_id tells whether the window also starts in an earlier document.
+A shard is an FM-index, the Burrows-Wheeler transform of regions in a wavelet tree. It holds those regions that another
+document may repeat later: of each anchor, all but the latest. Regions that may repeat an earlier one, of each anchor
+all but the earliest, are streamed through it by backward search; the matching statistic at each word is how far the
+text from there on matches the shard, cut at ``WINDOW`` words, and with it comes the interval of suffixes that match. A
+window is reported where the statistic reaches ``WINDOW``; the smallest doc_id of the interval tells whether it starts
+in an earlier document.
 """
 
 from __future__ import annotations
@@ -131,22 +133,35 @@ class FMIndex:
         self.shared = np.concatenate([[0], shared, [0]])
         self.tree = WaveletTree(text[suffix - 1], len(self.vocabulary) + 1)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.vocabulary) + 1))])[:-1]
-        self.n, self._bounds = n, {}
+        self.n, self.left, self.right = n, self._smaller(self.shared), n - self._smaller(self.shared[::-1])[::-1]
         self.numbers = np.repeat(numbers, sizes + 1)[suffix]
 
-    def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each suffix, the interval of those that share its first ``depth`` words."""
-        if depth not in self._bounds:
-            cut = np.flatnonzero(self.shared[:-1] < depth)
-            size = np.diff(np.concatenate([cut, [self.n]]))
-            self._bounds[depth] = np.repeat(cut, size), np.repeat(cut + size, size)
-        return self._bounds[depth]
+        cut = np.flatnonzero(self.shared[:-1] < depth)
+        size = np.diff(np.concatenate([cut, [n]]))
+        #: Of each suffix, the interval of those that share its first ``depth`` words.
+        self.low, self.high = np.repeat(cut, size), np.repeat(cut + size, size)
+
+    @staticmethod
+    def _smaller(x: np.ndarray) -> np.ndarray:
+        """Of each place, the nearest before it that has a smaller value; 0 where there is none."""
+        out = np.arange(-1, len(x) - 1)
+        todo = np.arange(len(x))
+        while len(todo := todo[(out[todo] >= 0) & (x[out[todo]] >= x[todo])]):
+            out[todo] = out[out[todo]]  # all between that place and this one are no smaller
+        return np.maximum(out, 0)
+
+    def parents(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next larger intervals of suffixes that share words, and how many words they share. A word that can't be
+        put before what an interval shares can't be put before any more than that either."""
+        a, b = self.shared[lo], self.shared[hi]
+        depth = np.maximum(a, b)
+        low, high = np.where(a == depth, self.left[lo], lo), np.where(b == depth, self.right[hi], hi)
+        return np.where(depth > 0, low, 0), np.where(depth > 0, high, self.n), depth
 
     def least_numbers(self) -> np.ndarray:
         """Of each suffix, the least number among those that share its first ``depth`` words."""
-        lo, hi = self.bounds(self.depth)
-        first = np.flatnonzero(np.concatenate([[True], lo[1:] != lo[:-1]]))
-        return np.repeat(np.minimum.reduceat(self.numbers, first), hi[first] - lo[first])
+        first = np.flatnonzero(np.concatenate([[True], self.low[1:] != self.low[:-1]]))
+        return np.repeat(np.minimum.reduceat(self.numbers, first), self.high[first] - self.low[first])
 
     def matching_statistics(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """At each word of each sequence (one after another): the length of the longest match that starts there, cut
@@ -177,32 +192,33 @@ class FMIndex:
                 done = todo[hit]
                 lo[done], hi[done] = a[hit], b[hit]
                 have[done] += 1
-                todo = todo[~hit]
-                have[todo] -= 1  # a word less at the right, and again; of a single word none is left
-                for d in np.unique(have[todo]):
-                    some = todo[have[todo] == d]
-                    starts, stops = self.bounds(int(d))
-                    hi[some], lo[some] = stops[lo[some]], starts[lo[some]]
+                todo = todo[~hit]  # fewer words at the right, and again
+                lo[todo], hi[todo], have[todo] = self.parents(lo[todo], hi[todo])
             over = np.flatnonzero(have[:live] > self.depth)
             if len(over):
-                starts, stops = self.bounds(self.depth)
-                hi[over], lo[over], have[over] = stops[lo[over]], starts[lo[over]], self.depth
+                hi[over], lo[over], have[over] = self.high[lo[over]], self.low[lo[over]], self.depth
             length[at], low[at], high[at] = have[:live], lo[:live], hi[:live]
         return length, low, high
 
 
-def earlier_windows(words: list[np.ndarray], doc_ids: np.ndarray) -> list[np.ndarray]:
-    """Of each region of a shard, the least doc_id that each of its windows starts in."""
-    index = FMIndex(words, doc_ids)
-    length, low, _ = index.matching_statistics(words)
-    least = index.least_numbers()[low]
-    sizes = [len(w) for w in words]
-    out, at = [], 0
-    for n in sizes:
-        window = slice(at, at + n - WINDOW + 1)
-        assert (length[window] == WINDOW).all()  # the index holds what is streamed
-        out.append(least[window])
-        at += n
+def earlier_windows(words: list[np.ndarray], doc_ids: np.ndarray, anchors: np.ndarray) -> list[np.ndarray | None]:
+    """Of each region of a shard, which of its windows also start in an indexed region of a smaller doc_id; None of
+    regions that aren't streamed, as no region of their anchor is of an earlier document."""
+    _, of = np.unique(anchors, return_inverse=True)
+    least, most = np.full(of.max() + 1, np.iinfo(np.int64).max), np.full(of.max() + 1, np.iinfo(np.int64).min)
+    np.minimum.at(least, of, doc_ids)
+    np.maximum.at(most, of, doc_ids)
+    held, asked = np.flatnonzero(doc_ids < most[of]), np.flatnonzero(doc_ids > least[of])
+    out: list[np.ndarray | None] = [None] * len(words)
+    if not len(asked):
+        return out
+    index = FMIndex([words[i] for i in held], doc_ids[held])
+    length, low, _ = index.matching_statistics([words[i] for i in asked])
+    first, at = index.least_numbers(), 0
+    for i in asked.tolist():
+        window = slice(at, at + len(words[i]) - WINDOW + 1)
+        out[i] = (length[window] == WINDOW) & (first[low[window]] < doc_ids[i])
+        at += len(words[i])
     return out
 
 

@@ -72,11 +72,12 @@ def test_empty(empty):
     assert passage_dedup.remove_repeats(empty).count() == 0
 
 
-def test_index_against_plain_search():
+@pytest.mark.parametrize("letters", [4, 30])
+def test_index_against_plain_search(letters):
     r = np.random.default_rng(4)
-    held = [r.integers(0, 4, r.integers(1, 60)).astype(np.uint64) for _ in range(40)]
+    held = [r.integers(0, letters, r.integers(1, 60)).astype(np.uint64) for _ in range(40)]
     index = passages.FMIndex(held, np.arange(40), depth=6)
-    asked = [r.integers(0, 6, r.integers(1, 50)).astype(np.uint64) for _ in range(30)] + held[:3]
+    asked = [r.integers(0, letters + 2, r.integers(1, 50)).astype(np.uint64) for _ in range(30)] + held[:3]
     length, low, high = index.matching_statistics(asked)
     least = index.least_numbers()
     texts, at = [w.tolist() for w in held], 0
@@ -99,6 +100,22 @@ def test_index_against_plain_search():
         at += len(w)
 
 
+def test_the_index_tells_what_repeats():
+    """Of the streamed words most match nothing in the index; what does is found, with the least doc_id that has it."""
+    r = np.random.default_rng(6)
+    text = lambda n: r.integers(0, 2**40, n).astype(np.uint64)
+    shared, near = text(60), text(49)
+    words = [np.concatenate([text(200), shared, text(30)]), np.concatenate([text(90), shared[3:58], text(400)]), np.concatenate([text(300), near, text(80)]), np.concatenate([text(20), near, text(500)]), text(120)]
+    docs, anchors = np.array([4, 9, 5, 8, 7]), np.array([1, 1, 2, 2, 3])
+    found = passages.earlier_windows(words, docs, anchors)
+    assert [f is None for f in found] == [True, False, True, False, True]  # the first of its anchor has nothing earlier
+    assert np.flatnonzero(found[1]).tolist() == list(range(90, 96)) and not found[3].any()
+    index = passages.FMIndex([words[0], words[2]], docs[[0, 2]])
+    length, _, _ = index.matching_statistics([words[1], words[3]])
+    assert (length == 0).mean() > 0.8 and (length == passages.WINDOW).sum() == 6
+    assert length[90 : 90 + 55].tolist() == [min(50, n) for n in range(55, 0, -1)]
+
+
 def test_regions_cover_all_windows_alike():
     r = np.random.default_rng(5)
     h = r.integers(0, 2**64, 500, dtype=np.uint64)
