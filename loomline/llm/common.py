@@ -172,7 +172,7 @@ class TokenCache:
 
     _open: dict[tuple[str, bool], TokenCache] = {}
 
-    def __init__(self, path: str, spaced: bool, most: int = 350_000):
+    def __init__(self, path: str, spaced: bool, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
