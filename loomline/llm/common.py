@@ -193,11 +193,17 @@ class TokenCache:
             cls._open[path, spaced] = cls(path, spaced)
         return cls._open[path, spaced]
 
+    def _ids(self, written: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
     def _word(self, word: str) -> bytes:
         written = word if word.isascii() and word.isalpha() else "".join(map(self.bytes.__getitem__, word.encode()))
-        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return self._ids(written)
 
     def _piece(self, piece: str) -> bytes:
+        bare = piece[1:] if piece[:1] == " " else piece
+        if bare.isascii() and bare.isalpha():  # most pieces are a word, after a space or none
+            return self._ids((self.bytes[32] + bare if bare is not piece else bare) if self.spaced else bare.lower())
         plain = _PLAIN.fullmatch(piece)
         space, letters, marks = plain.groups() if plain else ("", "?", "")
         if not self.spaced and not letters.isascii():
