@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import unicodedata
@@ -136,10 +137,11 @@ def slices(batch: pa.RecordBatch, column: int, budget: int = 1_000_000) -> Itera
 
 #: Where a text may be cut: before a single space or line feed between non-spaces.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: White space that keeps a text from being cut at every space and line feed.
-_OTHER = re.compile(r"[^\S \n]")
+#: White space that keeps a text from being cut at every space and line feed; none lies beyond U+3000.
+_OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: A piece that any of the vocabularies takes as letters and a run of ASCII marks (but for the apostrophe).
 _PLAIN = re.compile(r"([ \n]?)([^\W\d_]*)([!-&(-/:-@[-`{-~]*)")
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 class _Generations(dict):
@@ -172,7 +174,7 @@ class TokenCache:
 
     _open: dict[tuple[str, bool], TokenCache] = {}
 
-    def __init__(self, path: str, spaced: bool, most: int = 500_000):
+    def __init__(self, path: str, spaced: bool, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -184,7 +186,7 @@ class TokenCache:
         rest = iter(range(256, 512))
         self.bytes = {b: chr(b if b in set(kept) else next(rest)) for b in range(256)}
         self.words, self.known = _Generations(self._word, most), _Generations(self._piece, most)
-        self.after_space = _Generations(lambda p: self._piece(p if p[0] == "\n" else " " + p), most)
+        self.after_space = _Generations(lambda p: self._piece(p if p[:1] == "\n" else " " + p), most)
 
     @classmethod
     def get(cls, path: str, spaced: bool) -> TokenCache:
@@ -202,8 +204,13 @@ class TokenCache:
 
     def _piece(self, piece: str) -> bytes:
         bare = piece[1:] if piece[:1] == " " else piece
-        if bare.isascii() and bare.isalpha():  # most pieces are a word, after a space or none
-            return self._ids((self.bytes[32] + bare if bare is not piece else bare) if self.spaced else bare.lower())
+        letters = bare.rstrip(_MARKS)
+        if letters.isalpha() and (self.spaced or letters.isascii()):  # most pieces are a word, after a space or none
+            if len(letters) < len(bare):  # with marks: the word itself is a piece too
+                word = self.after_space if self.spaced and bare is not piece else self.known
+                return word[letters] + self.words[bare[len(letters) :]]
+            written = bare if bare.isascii() else "".join(map(self.bytes.__getitem__, bare.encode()))
+            return self._ids((self.bytes[32] + written if bare is not piece else written) if self.spaced else written.lower())
         plain = _PLAIN.fullmatch(piece)
         space, letters, marks = plain.groups() if plain else ("", "?", "")
         if not self.spaced and not letters.isascii():
@@ -212,21 +219,35 @@ class TokenCache:
             return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if not self.spaced:
             letters = letters.lower()
-            return (self.words[letters] if letters else b"") + (self.words[marks] if marks else b"")
+            if not marks:
+                return self._word(letters) if letters else b""
+            return (self.words[letters] if letters else b"") + self.words[marks]
         out = self.words[space] if space == "\n" or space and not letters and not marks else b""
         space = "" if space == "\n" else space
         if letters:
             return out + self.words[space + letters] + (self.words[marks] if marks else b"")
         return out + (self.words[space + marks] if marks else b"")
 
-    def _spaced(self, text: str) -> bytes:
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n" or _OTHER.search(text):
-            return b"".join(map(self.known.__getitem__, _CUT.split(text)))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return (self.known[first] if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
+    def _irregular(self, text: str) -> bool:
+        """Whether white space stands anywhere but once before a word."""
+        return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n" or any(c in text for c in _OTHER)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if self.spaced:
-            return [self._spaced(t) if t else b"" for t in texts]
-        get = self.known.__getitem__  # white space between words is dropped
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
+        """The ids of each text. Each distinct piece of ``texts`` is looked up once, so a few million bytes at a time
+        are best."""
+        texts = [t or "" for t in texts]
+        odd = {i for i, t in enumerate(texts) if self.spaced and t and self._irregular(t)}
+        whole = pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(whole, "\n", " \n" if self.spaced else " "), " ")
+        named, offsets = lists.values.dictionary_encode(), np.asarray(lists.offsets)
+        cache = self.after_space if self.spaced else self.known
+        found = pa.array(map(cache.__getitem__, named.dictionary.to_pylist()), pa.large_binary()).take(named.indices)
+        ends, data = np.frombuffer(found.buffers()[1], np.int64), memoryview(found.buffers()[2] or b"")
+        if not self.spaced:  # white space between words is dropped
+            at = ends[offsets].tolist()
+            return [bytes(data[a:b]) for a, b in itertools.pairwise(at)]
+        firsts = lists.values.take(lists.offsets[:-1]).to_pylist()  # no space stands before them
+        out = [(self.known[f] if f else b"") + bytes(data[a:b]) for f, a, b in zip(firsts, ends[offsets[:-1] + 1].tolist(), ends[offsets[1:]].tolist(), strict=True)]
+        for i in odd:
+            out[i] = b"".join(map(self.known.__getitem__, _CUT.split(texts[i])))
+        return out

@@ -134,7 +134,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in found:
-            for a, b, texts in slices(batch, 1):
+            for a, b, texts in slices(batch, 1, 4_000_000):
                 pieces = []
                 for i, got in zip(batch.column(0).slice(a, b - a).to_pylist(), cache.encode(texts), strict=True):
                     pieces += packer.add((i, got + end), len(got) // 4 + 1)

@@ -121,7 +121,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([base], pa.int64()), pa.array([n], pa.int64()), pa.array([code.to_bytes()], pa.binary())], ["part", "seq", "start", "n_ids", "data"])
 
         for batch in found:
-            for a, b, texts in slices(batch, 1):
+            for a, b, texts in slices(batch, 1, 4_000_000):
                 for i, got in zip(batch.column(0).slice(a, b - a).to_pylist(), cache.encode(texts), strict=True):
                     names.append(i)
                     data.append(got + end)
