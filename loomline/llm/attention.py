@@ -6,7 +6,7 @@ is scored in windows that overlap by a quarter; each id is scored once, in the w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -69,8 +69,14 @@ def gradients(w: dict[str, np.ndarray], ids: np.ndarray, targets: np.ndarray) ->
     g = {"out": own.T @ p, "out_bias": np.ones(len(t), p.dtype) @ p / n}
     dy = np.zeros_like(y)
     flat(dy)[rows] = p @ (w["out"].T / n)
+    return g | back(w, ids, s, dy), float(loss)
+
+
+def back(w: dict[str, np.ndarray], ids: np.ndarray, s: dict[str, np.ndarray], dy: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of all weights before the output, from those of the hidden states; ``s`` as of ``forward``."""
+    flat = lambda t: t.reshape(-1, t.shape[-1])
     r = np.maximum(s["u"], 0)
-    g["down"] = flat(r).T @ flat(dy)
+    g = {"down": flat(r).T @ flat(dy)}
     du = dy @ w["down"].T
     du *= s["u"] > 0
     g["up"], g["up_bias"] = flat(s["h"]).T @ flat(du), np.ones(flat(du).shape[0], du.dtype) @ flat(du)
@@ -80,7 +86,7 @@ def gradients(w: dict[str, np.ndarray], ids: np.ndarray, targets: np.ndarray) ->
     da, dv = np.matmul(dc, s["v"].transpose(0, 2, 1)), np.matmul(s["a"].transpose(0, 2, 1), dc)
     da -= ((da * s["a"]) @ np.ones(da.shape[-1], da.dtype))[..., None]
     da *= s["a"]
-    da *= da.dtype.type(1 / np.sqrt(y.shape[2]))
+    da *= da.dtype.type(1 / np.sqrt(dy.shape[2]))
     dq, dk = np.matmul(da, s["k"]), np.matmul(da.transpose(0, 2, 1), s["q"])
     dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
     for name, d in (("q", dq), ("k", dk), ("v", dv)):
@@ -88,11 +94,11 @@ def gradients(w: dict[str, np.ndarray], ids: np.ndarray, targets: np.ndarray) ->
     g["places"] = np.zeros_like(w["places"])
     g["places"][: ids.shape[1]] = dx.sum(0)
     g["ids"] = np.zeros_like(w["ids"])
-    order = np.argsort(ids.ravel().astype(np.uint8 if len(w["ids"]) <= 256 else ids.dtype), kind="stable")
+    order = np.argsort(ids.ravel().astype(np.uint8 if len(w["ids"]) <= 256 else np.uint16 if len(w["ids"]) <= 1 << 16 else ids.dtype), kind="stable")
     held = ids.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
     g["ids"][held[first]] = np.add.reduceat(flat(dx)[order], first)
-    return g, float(loss)
+    return g
 
 
 def train(w: dict[str, np.ndarray], windows: np.ndarray, rate: float, seed: int, batch: int = 64, epochs: int = 1) -> dict[str, np.ndarray]:
@@ -133,11 +139,11 @@ def cut_windows(n: int, window: int = WINDOW) -> np.ndarray:
     return np.arange(0, max(n - shared, 1), window - shared)
 
 
-def windows(texts: list[np.ndarray], window: int = WINDOW, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def windows(texts: list[np.ndarray], window: int = WINDOW, block: int = 1 << 15, kind: type = np.int16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """All windows of ``texts``, ``block`` at a time, each as what stands before it (-1: nothing) and its ids (-1:
     none, past the end); the text of each, and which of its windows it is."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    begin, flat = np.cumsum(sizes) - sizes, np.concatenate([*texts, [-1]]).astype(np.int16)
+    begin, flat = np.cumsum(sizes) - sizes, np.concatenate([*texts, [-1]]).astype(kind)
     starts = [cut_windows(n, window) for n in sizes]
     all_of = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
@@ -145,21 +151,29 @@ def windows(texts: list[np.ndarray], window: int = WINDOW, block: int = 1 << 15)
         first, of = start[at : at + block, None], all_of[at : at + block]
         place = first + np.arange(-1, window)
         inside = (place >= 0) & (place < sizes[of][:, None])
-        yield np.where(inside, flat[np.where(inside, place + begin[of][:, None], 0)], -1).astype(np.int16), of, first[:, 0] // (window - window // SHARED)
+        yield np.where(inside, flat[np.where(inside, place + begin[of][:, None], 0)], -1).astype(kind), of, first[:, 0] // (window - window // SHARED)
 
 
 def with_targets(rows: np.ndarray, begin: int) -> np.ndarray:
-    """Rows for ``train`` from ``windows`` kept as unsigned bytes. As in scoring, what a window shares with the one
+    """Rows for ``train`` from ``windows`` kept as unsigned integers. As in scoring, what a window shares with the one
     before it is context alone, so that each id is a target once."""
-    ids, window = rows.astype(np.int16), rows.shape[1] - 1
-    ids[rows == 255] = -1
+    ids, window = rows.astype(np.int16 if rows.dtype == np.uint8 else np.int32), rows.shape[1] - 1
+    ids[rows == np.iinfo(rows.dtype).max] = -1
     targets = ids[:, 1:].copy()
     targets[ids[:, 0] >= 0, : window // SHARED] = -1
     before = ids[:, :-1]
     return np.concatenate([np.where(before < 0, begin, before), targets], axis=1)
 
 
-def log10_probabilities(w: dict[str, np.ndarray], texts: list[np.ndarray], batch: int = 128) -> np.ndarray:
+def last(w: dict[str, np.ndarray], own: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """log10 of the chances of ``targets`` by one softmax over all ids, from hidden states."""
+    logits = own @ w["out"]
+    logits += w["out_bias"]
+    p = _exp(logits)
+    return np.log10(p[np.arange(len(targets)), targets] / (p @ np.ones(p.shape[1], p.dtype)) + 1e-38)
+
+
+def log10_probabilities(w: dict[str, np.ndarray], texts: list[np.ndarray], batch: int = 128, output: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray] = last) -> np.ndarray:
     """Of all ids of ``texts``, one text after another: log10 of the chance that the model gives each."""
     window, shared, begin = len(w["places"]), len(w["places"]) // SHARED, w["ids"].shape[0] - 1
     sizes = np.array([len(t) for t in texts])
@@ -179,8 +193,5 @@ def log10_probabilities(w: dict[str, np.ndarray], texts: list[np.ndarray], batch
         own = (place < e[:, None]) & (np.arange(window) >= skip[:, None])
         y, _ = forward(w, before[np.minimum(place, len(flat) - 1)])
         where = place[own]
-        logits = y[own] @ w["out"]
-        logits += w["out_bias"]
-        p = _exp(logits)
-        out[where] = np.log10(p[np.arange(len(where)), flat[where]] / (p @ np.ones(p.shape[1], p.dtype)) + 1e-38)
+        out[where] = output(w, y[own], flat[where])
     return out

@@ -10,7 +10,7 @@ of the words of a text and its end.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -157,11 +157,22 @@ def fit(slim: DataFrame, vocabulary: Vocabulary, seed: int = 41) -> dict[str, np
     start = attention.initial(N_CLASSES, prior)
     slim = slim.select("text", F.col("doc_id") if "doc_id" in slim.columns else F.lit(None).cast("long").alias("doc_id"))
     windows = written(slim.mapInArrow(cut, "mark long, window binary"), "windows")
-    drawn = windows.orderBy("mark", "window").limit(START).collect()  # bounded
-    if not drawn:
+    begin = lambda w, held: attention.train(w, targets(held), 0.01, seed, epochs=4)
+    return descend(windows, windows, windows.count, start, begin, lambda w, held: attention.train(w, targets(held), 0.002, seed))
+
+
+Step = Callable[[dict[str, np.ndarray], list[bytes]], dict[str, np.ndarray]]
+
+
+def descend(windows: DataFrame, sample: DataFrame, count: Callable[[], int], start: dict[str, np.ndarray], begin: Step, train: Step) -> dict[str, np.ndarray]:
+    """``begin`` on a bounded number of windows, then ``train`` over all of ``windows`` (mark, window) in groups, whose
+    weights are averaged. There are ``count()`` windows; ``sample`` holds those of the lowest marks at least."""
+    spark = windows.sparkSession
+    drawn = sample.orderBy("mark", "window").limit(START).collect()  # bounded
+    if not drawn and not count():
         return start
-    held = targets([bytes(r["window"]) for r in drawn])
-    start = attention.train(start, held, 0.01, seed, epochs=4)
+    if drawn:
+        start = begin(start, [bytes(r["window"]) for r in drawn])
     first = spark.sparkContext.broadcast(start)
 
     def go_on(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +181,7 @@ def fit(slim: DataFrame, vocabulary: Vocabulary, seed: int = 41) -> dict[str, np
 
         def step() -> None:
             nonlocal w, n, held
-            w, n, held = attention.train(w, targets(held), 0.002, seed), n + len(held), []
+            w, n, held = train(w, held), n + len(held), []
 
         def close() -> pa.RecordBatch:
             if held:
@@ -208,7 +219,7 @@ def fit(slim: DataFrame, vocabulary: Vocabulary, seed: int = 41) -> dict[str, np
         if part is not None:
             yield row()
 
-    groups = max(1, round(windows.count() / GROUP))
+    groups = max(1, round(count() / GROUP))
     dealt = windows.select(F.pmod("mark", F.lit(groups)).alias("g"), "mark", "window").repartition("g").sortWithinPartitions("g", "mark", "window").select("g", "window")
     ended = dealt.mapInArrow(go_on, "g long, n long, w binary").withColumn("part", F.col("g") % PARTS)
     sums = ended.repartition("part").sortWithinPartitions("part", "g").select("part", "n", "w").mapInArrow(add, "part long, n long, w binary")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_score, mixing, nearest, neardup_vectors, ngram_join, packing, passage_dedup, quality, sharding, tokenids
+from . import mixing, nearest, neardup_vectors, ngram_join, packing, passage_dedup, quality, sharding, subword_score, tokenids
 from .common import table
 
 
@@ -34,7 +34,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return subword_score.score_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
