@@ -22,6 +22,35 @@ def initial(n_ids: int, log_prior: np.ndarray, seed: int = 3, width: int = WIDTH
     return {"ids": g(n_ids + 1, width) * 2, "places": g(window, width) * 0.3, "q": g(width, width), "k": g(width, width), "v": g(width, width), "o": g(width, width), "up": g(width, 2 * width), "up_bias": np.zeros(2 * width, np.float32), "down": g(2 * width, width) * 0.5, "out": g(width, n_ids) * 0.1, "out_bias": log_prior.astype(np.float32)}
 
 
+#: Rows of one product: BLAS is fastest on products of narrow matrices when they are small.
+ROWS = 384
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b``, for many rows."""
+    out, whole = np.empty((len(a), b.shape[1]), a.dtype), len(a) - len(a) % ROWS
+    b = np.ascontiguousarray(b)
+    if whole:
+        np.matmul(a[:whole].reshape(-1, ROWS, a.shape[1]), b, out=out[:whole].reshape(-1, ROWS, b.shape[1]))
+    if whole < len(a):
+        np.matmul(a[whole:], b, out=out[whole:])
+    return out
+
+
+def sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b``, for many rows."""
+    whole = len(a) - len(a) % ROWS
+    out = a[whole:].T @ b[whole:]
+    if whole:
+        out += np.matmul(a[:whole].reshape(-1, ROWS, a.shape[1]).transpose(0, 2, 1), b[:whole].reshape(-1, ROWS, b.shape[1])).sum(0)
+    return out
+
+
+def in_range(totals: np.ndarray) -> bool:
+    """Whether sums of exponentials are neither too large nor too small for 32 bits."""
+    return not totals.size or bool(totals.min() > 1e-30 and totals.max() < 1e30)
+
+
 def _exp(x: np.ndarray) -> np.ndarray:
     """Exponentials in place, up to a factor for each row where they would be too large or small."""
     if x.size and x.max() - x.min() > 60:
@@ -35,21 +64,40 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def forward(w: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Hidden states of a batch of windows of ids, and what going back needs."""
-    n = ids.shape[1]
-    x = w["ids"][ids] + w["places"][:n]
-    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= a.dtype.type(1 / np.sqrt(x.shape[2]))
-    _exp(a)
-    a *= np.tri(n, dtype=a.dtype)
-    a *= (1 / (a @ np.ones(n, a.dtype)))[..., None]
-    c = np.matmul(a, v)
-    h = x + c @ w["o"]
-    u = h @ w["up"]
-    u += w["up_bias"]
-    return h + np.maximum(u, 0) @ w["down"], {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "u": u}
+def forward(w: dict[str, np.ndarray], ids: np.ndarray, skip: int = 0) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Hidden states of a batch of windows of ids, from place ``skip`` on, and what going back needs. Places before
+    that are context alone: they have keys and values, and no more is worked out for them."""
+    (b, n), d = ids.shape, w["ids"].shape[1]
+    x = w["ids"].take(ids, 0)
+    x += w["places"][:n]
+    flat, own = x.reshape(-1, d), np.ascontiguousarray(x[:, skip:]).reshape(-1, d)
+    k = times(flat, w["k"]).reshape(b, n, d)
+    # Beside the values a one, by which the sums of exponentials come with those of the values.
+    v = times(flat, np.pad(w["v"], ((0, 0), (0, 1)))).reshape(b, n, d + 1)
+    v[:, :, d] = 1
+    q = times(own, w["q"] * w["q"].dtype.type(1 / np.sqrt(d))).reshape(b, n - skip, d)
+    turned, seen = np.ascontiguousarray(k.transpose(0, 2, 1)), np.tri(n, dtype=x.dtype)[skip:]
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.matmul(q, turned)
+        np.exp(e, out=e)
+        e *= seen
+        both = np.matmul(e, v).reshape(-1, d + 1)
+    if not in_range(both[:, d]):
+        e = np.matmul(q, turned)
+        e[:, seen == 0] = -np.inf
+        e -= e.max(-1, keepdims=True)
+        np.exp(e, out=e)
+        both = np.matmul(e, v).reshape(-1, d + 1)
+    part = 1 / both[:, d:]
+    c = both[:, :d] * part
+    h = times(c, w["o"])
+    h += own
+    r = times(h, w["up"])
+    r += w["up_bias"]
+    np.maximum(r, 0, out=r)
+    y = times(r, w["down"])
+    y += h
+    return y.reshape(b, n - skip, d), {"x": flat, "own": own, "q": q, "k": k, "v": v, "e": e, "part": part, "c": c, "h": h, "r": r}
 
 
 def gradients(w: dict[str, np.ndarray], ids: np.ndarray, targets: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
@@ -74,30 +122,40 @@ def gradients(w: dict[str, np.ndarray], ids: np.ndarray, targets: np.ndarray) ->
 
 def back(w: dict[str, np.ndarray], ids: np.ndarray, s: dict[str, np.ndarray], dy: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of all weights before the output, from those of the hidden states; ``s`` as of ``forward``."""
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    r = np.maximum(s["u"], 0)
-    g = {"down": flat(r).T @ flat(dy)}
-    du = dy @ w["down"].T
-    du *= s["u"] > 0
-    g["up"], g["up_bias"] = flat(s["h"]).T @ flat(du), np.ones(flat(du).shape[0], du.dtype) @ flat(du)
-    dh = dy + du @ w["up"].T
-    g["o"] = flat(s["c"]).T @ flat(dh)
-    dc = dh @ w["o"].T
-    da, dv = np.matmul(dc, s["v"].transpose(0, 2, 1)), np.matmul(s["a"].transpose(0, 2, 1), dc)
-    da -= ((da * s["a"]) @ np.ones(da.shape[-1], da.dtype))[..., None]
-    da *= s["a"]
-    da *= da.dtype.type(1 / np.sqrt(dy.shape[2]))
-    dq, dk = np.matmul(da, s["k"]), np.matmul(da.transpose(0, 2, 1), s["q"])
-    dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat(s["x"]).T @ flat(d)
+    (b, n), d = ids.shape, dy.shape[2]
+    dy, skip, scale = dy.reshape(-1, d), n - dy.shape[1], dy.dtype.type(1 / np.sqrt(d))
+    g = {"down": sums(s["r"], dy)}
+    du = times(dy, w["down"].T)
+    du *= np.sign(s["r"])
+    g["up"], g["up_bias"] = sums(s["h"], du), np.ones(len(du), du.dtype) @ du
+    dh = times(du, w["up"].T)
+    dh += dy
+    g["o"] = sums(s["c"], dh)
+    # Chances are s["e"] times s["part"]. That factor goes to the narrow arrays, and what the sum of exponentials takes
+    # is the last column, against the ones beside the values.
+    dc = times(dh, np.pad(w["o"].T, ((0, 0), (0, 1))))
+    np.negative(np.einsum("ij,ij->i", dc[:, :d], s["c"]), out=dc[:, d])
+    dc *= s["part"]
+    dc = dc.reshape(b, n - skip, d + 1)
+    da = np.matmul(dc, np.ascontiguousarray(s["v"].transpose(0, 2, 1)))
+    da *= s["e"]
+    dk = np.matmul(da.transpose(0, 2, 1), s["q"]).reshape(-1, d)  # of which the scale is part
+    dv = np.matmul(s["e"].transpose(0, 2, 1), dc[:, :, :d]).reshape(-1, d)
+    dq = np.matmul(da, s["k"]).reshape(-1, d)
+    dq *= scale
+    g["q"], g["k"], g["v"] = sums(s["own"], dq), sums(s["x"], dk), sums(s["x"], dv)
+    dh += times(dq, w["q"].T)
+    dx = times(dk, w["k"].T)
+    dx += times(dv, w["v"].T)
+    dx = dx.reshape(b, n, d)
+    dx[:, skip:] += dh.reshape(b, n - skip, d)
     g["places"] = np.zeros_like(w["places"])
-    g["places"][: ids.shape[1]] = dx.sum(0)
+    g["places"][:n] = (np.ones(b, dx.dtype) @ dx.reshape(b, -1)).reshape(n, d)
     g["ids"] = np.zeros_like(w["ids"])
     order = np.argsort(ids.ravel().astype(np.uint8 if len(w["ids"]) <= 256 else np.uint16 if len(w["ids"]) <= 1 << 16 else ids.dtype), kind="stable")
     held = ids.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    g["ids"][held[first]] = np.add.reduceat(flat(dx)[order], first)
+    g["ids"][held[first]] = np.add.reduceat(dx.reshape(-1, d).take(order, 0), first)
     return g
 
 
@@ -187,11 +245,16 @@ def log10_probabilities(w: dict[str, np.ndarray], texts: list[np.ndarray], batch
     stop = np.concatenate([np.minimum(s + window, n) + o for s, n, o in zip(starts, sizes[sizes > 0], offset[sizes > 0], strict=True)]) if starts else first
     lead = np.concatenate([np.where(s > 0, shared, 0) for s in starts]) if starts else first
     out = np.zeros(len(flat))
-    for at in range(0, len(first), batch):
-        f, e, skip = first[at : at + batch], stop[at : at + batch], lead[at : at + batch]
-        place = f[:, None] + np.arange(window)
-        own = (place < e[:, None]) & (np.arange(window) >= skip[:, None])
-        y, _ = forward(w, before[np.minimum(place, len(flat) - 1)])
-        where = place[own]
-        out[where] = output(w, y[own], flat[where])
+    # What a window shares with the one before it is context alone; only a text's first window scores these places too.
+    whole, held = np.flatnonzero(lead == 0), []
+    parts = [(range(at, min(at + batch, len(of))), of, skip, length) for of, skip, length in ((np.arange(len(first)), shared, window), (whole, 0, shared)) for at in range(0, len(of), batch)]
+    for i, (at, of, skip, length) in enumerate(parts):
+        part = of[at.start : at.stop]
+        place = first[part, None] + np.arange(length)
+        y, _ = forward(w, before.take(np.minimum(place, len(flat) - 1)), skip)
+        own = np.flatnonzero(place[:, skip:] < stop[part, None])
+        held.append((y.reshape(-1, y.shape[-1]).take(own, 0), place[:, skip:].ravel().take(own)))
+        if len(held) == 8 or i == len(parts) - 1:
+            y, where = (np.concatenate(x) for x in zip(*held, strict=True))
+            out[where], held = output(w, y, flat[where]), []
     return out

@@ -28,6 +28,8 @@ from .common import TokenCache, Words, mix, remainder, slices, written
 END, NEW, NAMED = 0, 1, 2
 #: Ids with an output of their own, and those of the first groups; sizes of groups double after every second.
 HEAD, GROUP = 80, 32
+#: Bytes of the longest words whose ids a worker keeps: of 2^18 frequent words it holds at most 32 MB.
+KEPT = 32
 
 
 class Symbols:
@@ -69,49 +71,128 @@ def initial(symbols: Symbols, **sizes: int) -> dict[str, np.ndarray]:
     return w
 
 
+def _head(own: np.ndarray, out: np.ndarray, at: np.ndarray, g: np.ndarray | None, block: int = 4 * attention.ROWS) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural logarithms of the chances of outputs ``at``, one for each row of ``own``, among all rows of ``out``
+    (both end with the bias's column). ``g`` takes their gradients; the second result is that of ``own``."""
+    chance, back = np.empty(len(own)), None if g is None else np.empty((len(own), own.shape[1] - 1), own.dtype)
+    turned, ones = np.ascontiguousarray(out.T), np.ones(len(out), own.dtype)
+    for a in range(0, len(own), block):
+        y = own[a : a + block]
+        p = attention.times(y, turned)
+        index = np.arange(0, p.size, len(out)) + at[a : a + block]
+        z = p.take(index)
+        with np.errstate(over="ignore"):
+            np.exp(p, out=p)
+            total = p @ ones
+        if not attention.in_range(total):
+            p = attention.times(y, turned)
+            p -= p.max(1, keepdims=True)
+            z = p.take(index)
+            np.exp(p, out=p)
+            total = p @ ones
+        chance[a : a + block] = z - np.log(total.astype(np.float64))
+        if g is not None:  # divided by the sums only where arrays are narrow
+            p.ravel()[index] -= total
+            part = (1 / total)[:, None]
+            g += attention.sums(p, y * part)
+            np.multiply(attention.times(p, out[:, :-1]), part, out=back[a : a + block])
+    return chance, back
+
+
+def _within(y: np.ndarray, tail: np.ndarray, spans: list[tuple[int, int, int, int]], at: np.ndarray, g: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """As ``_head``, for rows a to b of ``y`` among rows f to e of ``tail``, for each (f, e, a, b) of ``spans``; ``at``
+    counts from f. What needs no product is done for all of them at once."""
+    width = np.repeat([e - f for f, e, _, _ in spans], [b - a for _, _, a, b in spans])
+    start = np.cumsum(width) - width
+    p, parts, n = np.empty(int(width.sum()), y.dtype), [], 0
+    for f, e, a, b in spans:
+        parts.append(p[n : n + (b - a) * (e - f)].reshape(b - a, e - f))
+        n += parts[-1].size
+
+    def logits() -> None:
+        for (f, e, a, b), part in zip(spans, parts, strict=True):
+            np.matmul(y[a:b], tail[f:e].T, out=part)
+
+    logits()
+    index = start + at
+    z = p.take(index)
+    with np.errstate(over="ignore"):
+        np.exp(p, out=p)
+        total = np.add.reduceat(p, start)
+    if not attention.in_range(total):
+        logits()
+        p -= np.repeat(np.maximum.reduceat(p, start), width)
+        z = p.take(index)
+        np.exp(p, out=p)
+        total = np.add.reduceat(p, start)
+    chance = z - np.log(total.astype(np.float64))
+    if g is None:
+        return chance, None
+    p[index] -= total
+    share = (1 / total)[:, None]
+    mine, back = y * share, np.empty((len(y), y.shape[1] - 1), y.dtype)
+    for (f, e, a, b), part in zip(spans, parts, strict=True):
+        np.matmul(part.T, mine[a:b], out=g[f:e])
+        np.matmul(part, tail[f:e, :-1], out=back[a:b])
+    back *= share
+    return chance, back
+
+
 def output(w: dict[str, np.ndarray], symbols: Symbols, own: np.ndarray, targets: np.ndarray, g: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """log10 of the chances of ``targets`` from hidden states. With ``g``, its outputs' arrays take the gradients of
     the sum of natural logarithms, negated, and the second result is that of the hidden states."""
-    p = own @ w["out"]
-    p += w["out_bias"]
-    attention._softmax(p)
-    at, column, back = np.arange(len(targets)), symbols.column[targets], None
-    chance = np.log10(p[at, column].astype(np.float64) + 1e-38)
-    if g is not None:
-        p[at, column] -= 1
-        g["out"][...], g["out_bias"][...] = own.T @ p, np.ones(len(at), p.dtype) @ p
-        g["tail"][...], g["tail_bias"][...] = 0, 0
-        back = p @ w["out"].T
+    own = np.concatenate([own, np.ones((len(own), 1), own.dtype)], 1)
+    out, tail = np.column_stack([w["out"].T, w["out_bias"]]), np.column_stack([w["tail"], w["tail_bias"]])
+    g_out, g_tail = (None, None) if g is None else (np.zeros_like(out), np.zeros_like(tail))
+    column = symbols.column.take(targets)
+    chance, back = _head(own, out, column, g_out)
     late = np.flatnonzero(column >= symbols.head)
-    late = late[np.argsort(column[late], kind="stable")]
-    y, t = own[late], targets[late] - symbols.head
-    bounds = np.searchsorted(column[late], np.arange(symbols.head, symbols.head + len(symbols.groups) + 1)).tolist()
-    for (f, e), a, b in zip(symbols.groups, bounds, bounds[1:]):
-        if a == b:
-            continue
-        part, rows, places = w["tail"][f:e], at[: b - a], t[a:b] - f
-        q = y[a:b] @ part.T
-        q += w["tail_bias"][f:e]
-        attention._softmax(q)
-        chance[late[a:b]] += np.log10(q[rows, places].astype(np.float64) + 1e-38)
+    if len(late):
+        late = late[np.argsort(column[late], kind="stable")]
+        bounds = np.searchsorted(column[late], np.arange(symbols.head, symbols.head + len(symbols.groups) + 1).astype(column.dtype)).tolist()
+        spans = [(f, e, a, b) for (f, e), a, b in zip(symbols.groups, bounds, bounds[1:]) if a < b]
+        firsts = np.repeat([f for f, _, _, _ in spans], [b - a for _, _, a, b in spans])
+        more, more_back = _within(own.take(late, 0), tail, spans, targets[late] - symbols.head - firsts, g_tail)
+        chance[late] += more
         if g is not None:
-            q[rows, places] -= 1
-            g["tail"][f:e], g["tail_bias"][f:e] = q.T @ y[a:b], np.ones(b - a, q.dtype) @ q
-            back[late[a:b]] += q @ part
-    return chance, back
+            back[late] += more_back
+    if g is not None:
+        g["out"][...], g["out_bias"][...] = g_out[:, :-1].T, g_out[:, -1]
+        g["tail"][...], g["tail_bias"][...] = g_tail[:, :-1], g_tail[:, -1]
+    return chance / np.log(10), back
 
 
 def gradients(w: dict[str, np.ndarray], symbols: Symbols, before: np.ndarray, targets: np.ndarray, g: dict[str, np.ndarray]) -> tuple[int, float]:
     """Into ``g``, of the summed loss over targets of 0 and more; their number and that loss."""
-    y, s = attention.forward(w, before)
-    t = targets.ravel()
-    rows = np.flatnonzero(t >= 0)
-    chance, back = output(w, symbols, y.reshape(-1, y.shape[-1])[rows], t[rows], g)
-    dy = np.zeros_like(y)
-    dy.reshape(-1, y.shape[-1])[rows] = back
-    for k, x in attention.back(w, before, s, dy).items():
-        g[k][...] = x
-    return len(rows), float(-chance.sum() * np.log(10))
+    parts, d = [], w["ids"].shape[1]
+    for of, skip, stop in _split(targets):
+        ids, t = before[of, :stop], targets[of, skip:stop].ravel()
+        y, s = attention.forward(w, ids, skip)
+        parts.append((ids, s, y, np.flatnonzero(t >= 0), t))
+    held = [len(rows) for _, _, _, rows, _ in parts]
+    own, t = (np.concatenate(x) for x in zip(*((y.reshape(-1, d).take(rows, 0), t[rows]) for _, _, y, rows, t in parts), strict=True))
+    chance, back = output(w, symbols, own, t, g)
+    found = []
+    for (ids, s, y, rows, _), at in zip(parts, np.cumsum(held) - held, strict=True):
+        dy = np.zeros_like(y)
+        dy.reshape(-1, d)[rows] = back[at : at + len(rows)]
+        found.append(attention.back(w, ids, s, dy))
+    for k in found[0]:
+        g[k][...] = found[0][k]
+        for x in found[1:]:
+            g[k] += x[k]
+    return len(t), float(-chance.sum() * np.log(10))
+
+
+def _split(targets: np.ndarray) -> list[tuple[np.ndarray | slice, int, int]]:
+    """Windows with the places whose hidden states they need: of most, those after what they share with the window
+    before; of windows that have targets there, these places too, which nothing after them bears on."""
+    n = targets.shape[1]
+    shared = n // attention.SHARED
+    first = np.flatnonzero((targets[:, :shared] >= 0).any(1))
+    if 4 * len(first) > len(targets):
+        return [(slice(None), 0, n)]
+    return [(slice(None), shared, n)] + ([(first, 0, shared)] if len(first) else [])
 
 
 def _views(like: dict[str, np.ndarray], flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -146,30 +227,60 @@ def train(w: dict[str, np.ndarray], symbols: Symbols, windows: np.ndarray, rate:
             slope *= 1 / max(1, found)
             step += 1
             scale = rate * min(1.0, step / 20) * (1 - 0.9 * step / total) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+            # Sums of slopes and squares in place of means, ten and a hundred times these, which cancel out.
             m *= 0.9
-            np.multiply(slope, 0.1, out=x)
-            m += x
+            m += slope
             v *= 0.99
             np.multiply(slope, slope, out=x)
-            x *= 0.01
             v += x
             np.sqrt(v, out=x)
-            x += 1e-8
+            x += 1e-7
             np.divide(m, x, out=x)
             x *= flat.dtype.type(scale)
             flat -= x
     return {k: x.copy() for k, x in w.items()}
 
 
-def spelled(words: Words, cache: TokenCache) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words, each after a space, one after another; and where those of each begin, and the end."""
-    _, once, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-    raw = words.raw.tobytes()
-    found = cache.encode([" " + raw[s:e].decode("utf-8", "replace") for s, e in zip(words.starts[once].tolist(), words.ends[once].tolist(), strict=True)])
-    sizes = np.array([len(x) // 4 for x in found], np.int64)
-    begin, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
-    at = np.concatenate([[0], np.cumsum(size)])
-    return np.frombuffer(b"".join(found), "<u4")[np.repeat(begin - at[:-1], size) + np.arange(at[-1])], at
+class Spellings:
+    """The ids of words, each after a space. Those of frequent words are kept by their numbers in the vocabulary, so
+    that a worker spells each once; other words and long ones are spelled once for each call."""
+
+    def __init__(self, n: int):
+        self.begin, self.size, self.kept = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int64), np.zeros(0, np.uint32)
+
+    @classmethod
+    def of(cls, vocabulary: lm_score.Vocabulary) -> Spellings:
+        """One for each vocabulary that a Python worker holds."""
+        if not hasattr(vocabulary, "spellings"):
+            vocabulary.spellings = cls(len(vocabulary.hashes))
+        return vocabulary.spellings
+
+    def spell(self, words: Words, known: np.ndarray, cache: TokenCache) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another; and where those of each begin, and the end. ``known``: the numbers
+        of frequent words, -1 of others."""
+        raw, known = words.raw.tobytes(), np.where(words.ends - words.starts <= KEPT, known, -1)
+
+        def encode(on: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """``after`` with the ids of these words; where each begins, and how many it has."""
+            named = [raw[s:e].decode("utf-8", "replace") for s, e in zip(words.starts[on].tolist(), words.ends[on].tolist(), strict=True)]
+            odd = [i for i, w in enumerate(named) if not (w.isascii() and w.isprintable())]  # all others are one piece
+            found = [cache.after_space[w] if w.isascii() and w.isprintable() else b"" for w in named]
+            for i, ids in zip(odd, cache.encode([" " + named[i] for i in odd]), strict=True):
+                found[i] = ids
+            size = np.array([len(x) // 4 for x in found], np.int64)
+            return np.concatenate([after, np.frombuffer(b"".join(found), "<u4")]), len(after) + np.cumsum(size) - size, size
+
+        fresh = np.flatnonzero((known >= 0) & (self.size[known] < 0))
+        if len(fresh):
+            names, once = np.unique(known[fresh], return_index=True)
+            self.kept, self.begin[names], self.size[names] = encode(fresh[once], self.kept)
+        flat, begin, size, rest = self.kept, self.begin[known], self.size[known], np.flatnonzero(known < 0)
+        if len(rest):
+            _, once, which = np.unique(words.hashes[rest], return_index=True, return_inverse=True)
+            flat, at, many = encode(rest[once], flat)
+            begin[rest], size[rest] = at[which], many[which]
+        at = np.concatenate([[0], np.cumsum(size)])
+        return flat[np.repeat(begin - at[:-1], size) + np.arange(at[-1])], at
 
 
 def _binary(flat: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -191,6 +302,7 @@ def spell(slim: DataFrame, vocabulary: lm_score.Vocabulary, tokenizer: str, kind
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, cache = sent.value, TokenCache.get(tokenizer, True)
+        spellings = Spellings.of(vocab)
         base = vocab.base(vocab.counts)
         key = TaskContext.get().partitionId() << 33
         for batch in found:
@@ -201,7 +313,7 @@ def spell(slim: DataFrame, vocabulary: lm_score.Vocabulary, tokenizer: str, kind
                 per = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[words.at])
                 plain = per(np.where(on, base[known], 0) if len(base) else np.zeros(len(known))) + vocab.base(np.array(float(vocab.n_docs)))
                 n_known = per(on.astype(np.int64)) + (vocab.n_docs > 0)
-                ids, at = spelled(words, cache)
+                ids, at = spellings.spell(words, known, cache)
                 rows = [np.unique(words.hashes[f:e][~on[f:e]], return_counts=True) for f, e in zip(words.at[:-1], words.at[1:], strict=True)]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[c] for r in rows]).view(np.int64).astype(t))) for c, t in ((0, np.int64), (1, np.int32))]

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from loomline.llm import attention, lm_score, queries, subword_score
-from loomline.llm.common import table
+from loomline.llm.common import TokenCache, Words, table
 from loomline.llm.queries import tokenizer_path
 from tests.llm.test_lm import brute
 
@@ -153,6 +153,67 @@ def test_training_takes_every_id_and_groups_do_not_depend_on_batches(spark, monk
     assert all(n == windows and ids == sum(len(ids_of(t)) + 1 for _, t in docs) for windows, n, ids in seen)
 
 
+def test_frequent_words_are_spelled_once(monkeypatch):
+    long = "river" * 9
+    texts = [f"river naïve stone\u00a0x rare1 river! {long}", f"stone\u00a0x RIVER rare2 \x1c\x1cz {long} naïve rare1", None]
+    words = Words(texts, lower=True)
+    frequent = np.unique(np.concatenate([words.hashes[: words.at[1]][[0, 1, 2]], Words(["river!", long]).hashes]))
+    vocabulary = lm_score.Vocabulary(frequent, np.ones(5), np.zeros(5), np.ones(1), np.ones(1), 1)
+    cache, made = TokenCache(BYTE, True), []
+    one = cache.after_space
+    monkeypatch.setattr(cache, "after_space", type("", (), {"__getitem__": lambda self, w: made.append(w) or one[w]})())
+    monkeypatch.setattr(cache, "encode", lambda t: made.extend(x[1:] for x in t) or [np.asarray(TOKENIZER.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in t])
+    spellings = subword_score.Spellings.of(vocabulary)
+    assert spellings is subword_score.Spellings.of(vocabulary)
+    for again in (["river", "naïve", "stone\u00a0x", "river!"], []):
+        made.clear()
+        ids, at = spellings.spell(words, vocabulary.find(words.hashes), cache)
+        assert [ids[a:b].tolist() for a, b in zip(at[words.at[:-1]], at[words.at[1:]])] == [ids_of(t) for t in texts]
+        assert set(made) == {*again, "rare1", "rare2", "\x1c\x1cz", long}
+
+
+def test_what_windows_share_is_context_alone(monkeypatch):
+    r = np.random.default_rng(5)
+    symbols = symbols_of(300, 400)
+    w = subword_score.initial(symbols)
+    texts = [r.integers(0, symbols.n, n) for n in (400, 250, 31, 300, 700)]
+    both = attention.with_targets(np.concatenate([x for x, _, _ in attention.windows(texts)]).astype(np.uint16), symbols.n)
+    before, targets = both[:, :32], both[:, 32:]
+    assert np.allclose(attention.forward(w, before, 8)[0], attention.forward(w, before)[0][:, 8:], atol=1e-5)
+    places, forward = [], attention.forward
+    monkeypatch.setattr(attention, "forward", lambda w, ids, skip=0: places.append(len(ids) * (ids.shape[1] - skip)) or forward(w, ids, skip))
+    g, whole = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    n, loss = subword_score.gradients(w, symbols, before, targets, g)
+    assert sum(places) == 24 * len(before) + 8 * len(texts)
+    monkeypatch.setattr(subword_score, "_split", lambda t: [(slice(None), 0, 32)])
+    assert subword_score.gradients(w, symbols, before, targets, whole) == (n, pytest.approx(loss, rel=1e-5))
+    assert n == sum(map(len, texts)) and sum(places) == (24 + 32) * len(before) + 8 * len(texts)
+    for k in w:
+        assert np.allclose(g[k], whole[k], rtol=1e-3, atol=1e-3), k
+
+
+def test_logits_out_of_range():
+    symbols = symbols_of(300, 400)
+    w = subword_score.initial(symbols)
+    own = (np.random.default_rng(8).standard_normal((symbols.n, 16)) * 200).astype(np.float32)
+    t = np.arange(symbols.n)
+    z = own.astype(float) @ w["out"] + w["out_bias"]
+    log = lambda z: z - z.max(-1, keepdims=True) - np.log(np.exp(z - z.max(-1, keepdims=True)).sum(-1, keepdims=True))
+    want = log(z)[t, symbols.column]
+    for i in t[symbols.head :]:
+        f, e = symbols.groups[symbols.column[i] - symbols.head]
+        want[i] += log(w["tail"][f:e] @ own[i].astype(float) + w["tail_bias"][f:e])[i - symbols.head - f]
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    chance, back = subword_score.output(w, symbols, own, t, g)
+    assert chance == pytest.approx(want / np.log(10), rel=1e-3, abs=1e-2) and np.isfinite(back).all() and all(np.isfinite(x).all() for x in g.values())
+    # What stands later would have the largest weight by far; it is masked.
+    w["ids"][7] *= 400
+    ids = np.array([[1, 2, 3, 7]])
+    with np.errstate(all="raise", under="ignore"):
+        y, s = attention.forward(w, ids)
+    assert np.isfinite(y).all() and np.allclose(y[:, :3], attention.forward(w, ids[:, :3])[0], atol=1e-4)
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 def test_held_out_gain(spark):
     # Against the plain counts of the same ids, with half a count more for each of the vocabulary.
