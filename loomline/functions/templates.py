@@ -11,30 +11,39 @@ from ..config import PLACEHOLDER
 from .regexes import quote
 
 
-def is_common(token: Column, common: Column) -> Column:
-    return F.array_contains(common, token["slice"])
+def is_common(text: Column, common: Column) -> Column:
+    return F.array_contains(common, text)
 
 
-def render(tokens: Column, common: Column) -> Column:
+def render(slices: Column, common: Column) -> Column:
     """Common slices as they are; each run of others as one placeholder."""
-    parts = F.transform(tokens, lambda t, i: F.when(is_common(t, common), t["slice"]).when((i == 0) | is_common(F.get(tokens, i - 1), common), F.lit(PLACEHOLDER)))
+    parts = F.transform(slices, lambda s, i: F.when(is_common(s, common), s).when((i == 0) | is_common(F.get(slices, i - 1), common), F.lit(PLACEHOLDER)))
     return F.array_join(parts, "")
 
 
-def mask(tokens: Column, common: Column) -> Column:
+def mask(slices: Column, common: Column) -> Column:
     """For each byte of the message, 0 where it is literal and 1 where it is a parameter."""
-    return F.array_join(F.transform(tokens, lambda t: F.repeat(F.when(is_common(t, common), "0").otherwise("1"), F.octet_length(t["slice"]))), "")
+    return F.array_join(F.transform(slices, lambda s: F.repeat(F.when(is_common(s, common), "0").otherwise("1"), F.octet_length(s))), "")
 
 
-def arguments(tokens: Column, common: Column) -> Column:
-    """The text behind each placeholder that ``render`` makes."""
+#: Stands between arguments; a text that holds it is taken apart token by token.
+_BETWEEN = "\uffff"
+
+
+def arguments(slices: Column, common: Column, text: Column) -> Column:
+    """The text behind each placeholder that ``render`` makes of the slices of ``text``."""
+    joined = F.array_join(F.transform(slices, lambda s: F.when(is_common(s, common), _BETWEEN).otherwise(s)), "")
+    return F.when(F.contains(text, F.lit(_BETWEEN)), _runs(slices, common)).otherwise(F.filter(F.split(joined, _BETWEEN, -1), lambda a: a != ""))
+
+
+def _runs(slices: Column, common: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
 
     def step(a: Column, t: Column) -> Column:
         closed = F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
-        return F.when(is_common(t, common), F.struct(closed.alias("done"), F.lit(None).cast("string").alias("open"))).otherwise(F.struct(a["done"].alias("done"), F.concat(F.coalesce(a["open"], F.lit("")), t["slice"]).alias("open")))
+        return F.when(is_common(t, common), F.struct(closed.alias("done"), F.lit(None).cast("string").alias("open"))).otherwise(F.struct(a["done"].alias("done"), F.concat(F.coalesce(a["open"], F.lit("")), t).alias("open")))
 
-    end = F.aggregate(tokens, start, step)
+    end = F.aggregate(slices, start, step)
     return F.when(end["open"].isNull(), end["done"]).otherwise(F.concat(end["done"], F.array(end["open"])))
 
 

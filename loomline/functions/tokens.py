@@ -122,6 +122,46 @@ def tokenize(text: Column, config: ParserConfig, rich: bool = False) -> Column:
     return F.flatten(F.transform(pre_tokens(text, config), lambda t: F.when(t["kind"] == UNREFINED, split_plain(t["slice"], symbols)).otherwise(F.array(t))))
 
 
+def rich_slices(text: Column, config: ParserConfig) -> Column:
+    """The slices of the rich tokens, whose kinds aren't looked at."""
+    edge = WHITE + char_class(RICH_SYMBOLS)
+    cut = lambda s: F.regexp_extract_all(s, F.lit(f"[{edge}]|[^{edge}]+"), F.lit(0))
+    if not (config.special_whites or config.special_blacks):
+        return cut(text)
+    return F.flatten(F.transform(pre_tokens(text, config), lambda t: F.when(t["kind"] == UNREFINED, cut(t["slice"])).otherwise(F.array(t["slice"]))))
+
+
+def is_reducible(config: ParserConfig) -> bool:
+    """Whether tokens that aren't candidates can be told from their own text. A literal white pattern leaves its text
+    nowhere else; what other ones find may stand elsewhere as a token of another kind."""
+    whites, blacks = map(compile_pattern, config.special_whites), map(compile_pattern, config.special_blacks)
+    return not config.filter_impure and set(config.symbols) <= set(RICH_SYMBOLS) and all(p.literal for p in whites) and all(p.plain for p in blacks)
+
+
+def shape_of(text: Column, config: ParserConfig) -> Column:
+    """The line with one and the same word in place of each token that can be neither an anchor nor a literal: special
+    tokens, and between them what isn't refined yet. Lines of one shape have the same anchors, and templates."""
+    parts = pre_tokens(text, config)
+    if is_reducible(config):
+        edge, kept = WHITE + char_class(RICH_SYMBOLS), config.kept_kinds
+        word = "|".join(c for kind, c in ((ALPHABETIC, r"\p{L}++"), (NUMERIC, r"\p{Nd}++")) if kind in kept) or "[^\\s\\S]"
+        other = rf"(?<![^{edge}])(?!(?:{word})(?![^{edge}]))[^{edge}]++"
+        instead = F.lit(next(x for n in range(len(config.special_whites) + 1) if (x := "0" + "x" * (n + 1)) not in config.special_whites))
+        if not (config.special_whites or config.special_blacks):
+            parts = F.array(_token(F.lit(UNREFINED), F.regexp_replace(text, F.lit(other), instead)))
+        else:
+            # A black token's text may be a candidate's elsewhere.
+            same = lambda s: kind_of(s, config.symbols).isin(*config.common_kinds) | kind_of(s, RICH_SYMBOLS).isin(*config.common_kinds)
+            short = lambda t: F.when(t["kind"] == UNREFINED, F.regexp_replace(t["slice"], F.lit(other), instead)).when((t["kind"] == SPECIAL_BLACK) & ~same(t["slice"]), instead).otherwise(t["slice"])
+            parts = F.transform(parts, lambda t: _token(t["kind"], short(t)))
+    return F.when(text.isNotNull(), parts)
+
+
+def of_shape(shape: Column, symbols: str) -> Column:
+    """The tokens of a shape."""
+    return F.flatten(F.transform(shape, lambda t: F.when(t["kind"] == UNREFINED, split_plain(t["slice"], symbols)).otherwise(F.array(t))))
+
+
 def of_kinds(tokens: Column, kinds: tuple[int, ...]) -> Column:
     return F.filter(tokens, lambda t: t["kind"].isin(*kinds))
 

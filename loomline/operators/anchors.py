@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SPECIAL_BLACK, SPECIAL_WHITE, ParserConfig
-from ..functions.tokens import of_kinds
-from ..plans.tables import BROADCAST, stored
+from ..functions.tokens import of_kinds, slices
+from ..plans.tables import BROADCAST, sent, stored
 from .stats import dependencies, occurrences
 
 
@@ -85,14 +85,16 @@ def row_nodes(lines: DataFrame, config: ParserConfig) -> DataFrame:
     if not (config.special_whites or config.special_blacks):
         # The kind follows from the slice, so that what counts here counts everywhere.
         return lines.withColumn("nodes", F.array_distinct(of_kinds(F.col("tokens"), config.kept_kinds)))
-    each = lines.select("first", F.posexplode(F.array_distinct("tokens")).alias("pos", "t"))
-    live = each.join(occurrences(lines).select(F.col("slice").alias("_s")), F.col("t.slice") == F.col("_s"), "left_semi")
-    nodes = live.groupBy("first").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("nodes"))
-    return lines.join(nodes, "first", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<struct<kind:tinyint,slice:string>>")))
+    # What counts by its kind is there anyway; of the rest, only what counts elsewhere leaves its place.
+    counted = sent(stored(occurrences(lines).select(F.col("slice").alias("s")), "counted"), F.octet_length("s") + 32)
+    rest = lines.select("first", F.explode(slices(F.filter("tokens", lambda t: ~t["kind"].isin(*config.kept_kinds)))).alias("s"))
+    hits = rest.join(counted, "s", "left_semi").groupBy("first").agg(F.collect_list("s").alias("_hits"))
+    nodes = F.filter(F.array_distinct("tokens"), lambda t: t["kind"].isin(*config.kept_kinds) | F.coalesce(F.array_contains("_hits", t["slice"]), F.lit(False)))
+    return lines.join(hits, "first", "left").withColumn("nodes", nodes).drop("_hits")
 
 
 def with_anchors(lines: DataFrame, config: ParserConfig) -> DataFrame:
-    """``lines`` (msg, w, first, tokens, kept; a written table) with anchors: sorted structs of kind and slice, empty
+    """``lines`` (w, first, tokens, kept; a written table) with anchors: sorted structs of kind and slice, empty
     where none.
 
     Edges are written once. Where few tokens depend on others the edges are broadcast, and pairs of a line's nodes meet

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..config import ParserConfig
 from ..functions.templates import arguments, decode, normalize_template, template_parts
+from ..functions.tokens import is_reducible, rich_slices
 from ..plans.parser import LogParser, ParseResult
 from ..plans.ranking import numbered
-from ..plans.tables import stored
+from ..plans.tables import sent, stored
+from .stats import distinct_lines
 
 
 class CorpusCodec:
-    """``entries``: msg, template_id, args of each distinct line; ``templates``: template_id, template.
+    """``entries``: msg, template_id, args of each distinct line; ``templates``: template_id, template. The lines and the
+    templates are written once; arguments follow from them where they are asked for.
 
     Templates of clusters come first, in order; lines that have no cluster, or that their tokens don't add up to, are
     templates of their own, in order of their first idx. A line that holds the placeholder itself isn't had back.
@@ -25,19 +28,22 @@ class CorpusCodec:
     @classmethod
     def fit(cls, df: DataFrame, config: ParserConfig | None = None, message: str = "msg", idx: str = "idx") -> CorpusCodec:
         parsed: ParseResult = LogParser(config).parse(df, message, idx)
-        first = parsed.messages.where("msg is not null").groupBy("msg").agg(F.min("idx").alias("first"))
-        whole = F.array_join(F.transform("rich", lambda t: t["slice"]), "") == F.col("msg")
-        shown = parsed.rendered.where(whole).select("msg", "template", arguments(F.col("rich"), F.col("common")).alias("args"))
-        lines = first.join(shown, "msg", "left").withColumn("own", F.col("template").isNull())
-        lines = lines.select("msg", "first", "own", F.coalesce("template", "msg").alias("template"), F.coalesce("args", F.array().cast("array<string>")).alias("args"))
-        lines = stored(lines, "codec-lines")
+        lines = stored(distinct_lines(parsed.messages).select("msg", "first"), "codec-lines")
+        each = parsed.with_shapes(lines, parsed.rendered)
+        slices = rich_slices(F.col("msg"), parsed.config)
+        whole = F.is_valid_utf8("msg") if is_reducible(parsed.config) else F.array_join(slices, "") == F.col("msg")
+        each = each.withColumn("own", F.col("template").isNull() | ~whole).withColumn("template", F.when(F.col("own"), F.col("msg")).otherwise(F.col("template")))
         sets = parsed.templates.select("cluster_id", F.posexplode("templates").alias("pos", "template"))
         sets = sets.withColumn("template", normalize_template(F.col("template")))
         order = sets.groupBy("template").agg(F.min(F.struct(F.lit(0).alias("late"), F.col("cluster_id").cast("long").alias("at"), F.col("pos").cast("long").alias("pos"))).alias("o"))
-        rest = lines.groupBy("template").agg(F.min(F.struct(F.lit(1).alias("late"), F.col("first").alias("at"), F.lit(0).cast("long").alias("pos"))).alias("o"))
+        rest = each.groupBy("template").agg(F.min("first").alias("at")).select("template", F.struct(F.lit(1).alias("late"), "at", F.lit(0).cast("long").alias("pos")).alias("o"))
         both = order.union(rest).groupBy("template").agg(F.min("o").alias("o"))
         templates = numbered(both, [F.col("o")], "template_id").select(F.col("template_id").cast("int").alias("template_id"), "template")
-        return cls(stored(lines.join(templates, "template").select("msg", "template_id", "args"), "codec"), templates)
+        # A template may have most lines: where the templates' bytes allow, lines don't move to them.
+        templates = sent(stored(templates, "codec-templates"), F.octet_length("template") + 64)
+        none = F.array().cast("array<string>")
+        entries = each.join(templates, "template").select("msg", "template_id", F.when(F.col("own"), none).otherwise(arguments(slices, F.col("common"), F.col("msg"))).alias("args"))
+        return cls(entries, templates)
 
     def encode(self, messages: DataFrame) -> DataFrame:
         """``messages`` (with a column msg) with template_id and args; -1 and null for lines that aren't known."""

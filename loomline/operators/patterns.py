@@ -9,6 +9,7 @@ from ..config import ParserConfig
 from ..functions.templates import render
 from ..functions.tokens import of_kinds, slices
 from ..plans.ranking import numbered
+from ..plans.tables import sent, stored
 
 
 def is_sampled(position: Column, n: Column, sample: float) -> Column:
@@ -21,16 +22,17 @@ def is_sampled(position: Column, n: Column, sample: float) -> Column:
     return F.when((n <= 1) | (k >= n), True).when(k == 1, position == 0).otherwise(some)
 
 
-def pattern_lines(assigned: DataFrame, messages: DataFrame, sample: float) -> DataFrame:
-    """The lines that patterns are made from: positions count messages in order of idx, repeats each. A position is a
-    number in the order of clusters and idx, less the first of its cluster, so that no cluster is sorted in one task."""
+def pattern_shapes(assigned: DataFrame, messages: DataFrame, sample: float) -> DataFrame:
+    """The shapes that patterns are made from, those of sampled messages: positions count messages (idx, cluster_id, and
+    first of their shape) in order of idx. A position is a number in the order of clusters and idx, less the first of
+    its cluster, so that no cluster is sorted in one task."""
     if sample >= 1:
         return assigned
-    each = numbered(messages.join(assigned.select("msg", "cluster_id"), "msg").select("cluster_id", "idx", "msg"), [F.col("cluster_id"), F.col("idx")], "_i")
-    of = each.groupBy("cluster_id").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
-    placed = each.join(of, "cluster_id").withColumn("_p", F.col("_i") - F.col("_first"))
-    chosen = placed.where(is_sampled(F.col("_p"), F.col("_n"), sample)).select("msg").distinct()
-    return assigned.join(chosen, "msg", "left_semi")
+    each = numbered(messages.select("cluster_id", "idx", "first"), [F.col("cluster_id"), F.col("idx")], "_i")
+    of = stored(each.groupBy("cluster_id").agg(F.min("_i").alias("_first"), F.count("*").alias("_n")), "sizes")
+    placed = each.join(sent(of, F.lit(64)), "cluster_id").withColumn("_p", F.col("_i") - F.col("_first"))
+    chosen = placed.where(is_sampled(F.col("_p"), F.col("_n"), sample)).select("first").distinct()
+    return assigned.join(chosen, "first", "left_semi")
 
 
 def common_slices(lines: DataFrame, config: ParserConfig) -> DataFrame:
@@ -44,5 +46,5 @@ def common_slices(lines: DataFrame, config: ParserConfig) -> DataFrame:
 
 def cluster_templates(lines: DataFrame, common: DataFrame) -> DataFrame:
     """cluster_id and templates: the distinct renderings of its lines, sorted by bytes."""
-    shown = lines.join(common, "cluster_id").select("cluster_id", render(F.col("rich"), F.col("common")).alias("template")).distinct()
+    shown = lines.join(common, "cluster_id").select("cluster_id", render(F.col("rich.slice"), F.col("common")).alias("template")).distinct()
     return shown.groupBy("cluster_id").agg(F.sort_array(F.collect_list("template")).alias("templates"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ParserConfig
-from ..functions.tokens import of_kinds, slices, tokenize
+from ..functions.tokens import of_kinds, of_shape, shape_of, slices, tokenize
 
 
 def distinct_lines(messages: DataFrame) -> DataFrame:
@@ -14,9 +14,20 @@ def distinct_lines(messages: DataFrame) -> DataFrame:
     return messages.where("msg is not null").groupBy("msg").agg(F.count("*").alias("w"), F.min("idx").alias("first"))
 
 
+def shapes(messages: DataFrame, config: ParserConfig) -> DataFrame:
+    """The distinct shapes of messages, counted where the messages lie: shape, w (how many messages have it), first (the
+    least idx of these), and tokens and kept as of a line."""
+    found = messages.where("msg is not null").select("idx", shape_of(F.col("msg"), config).alias("shape")).groupBy("shape").agg(F.count("*").alias("w"), F.min("idx").alias("first"))
+    return _with_kept(found.withColumn("tokens", of_shape(F.col("shape"), config.symbols)), config)
+
+
+def _with_kept(lines: DataFrame, config: ParserConfig) -> DataFrame:
+    return lines.withColumn("kept", F.sort_array(slices(of_kinds(F.col("tokens"), config.kept_kinds))))
+
+
 def tokenized(lines: DataFrame, config: ParserConfig) -> DataFrame:
     """``lines`` with tokens, and kept: the distinct slices that count, sorted."""
-    return lines.withColumn("tokens", tokenize(F.col("msg"), config)).withColumn("kept", F.sort_array(slices(of_kinds(F.col("tokens"), config.kept_kinds))))
+    return _with_kept(lines.withColumn("tokens", tokenize(F.col("msg"), config)), config)
 
 
 def occurrences(lines: DataFrame) -> DataFrame:

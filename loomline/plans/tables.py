@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes up to which a table is broadcast.
 BROADCAST = 32 << 20
@@ -32,6 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, size: Column) -> DataFrame:
+    """``df`` (a written table), to be broadcast where its bytes allow. ``size``: the bytes of a row."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST else df
+
+
+def bytes_of(tokens: Column) -> Column:
+    """About the bytes that an array of tokens takes."""
+    return F.aggregate(tokens, F.lit(32), lambda a, t: a + F.octet_length(t["slice"]) + 32)
+
+
 def release(df: DataFrame) -> None:
     """Deletes the files of a table made by ``stored``."""
     spark = df.sparkSession
