@@ -127,33 +127,10 @@ class TemplateMatcher:
     def templates(self) -> list[str]:
         return [t.template for t in self.compiled]
 
-    def candidates(self, lines: DataFrame) -> DataFrame:
-        """Pairs of a line (msg) and a template it might match, by equality, first literal, last literal, or a literal
-        between. Each way is an equality join on a prefix or suffix of the few lengths there are, but for the last,
-        which looks for the literals of all such templates at once."""
-        take = ["template_id", "n_ph", "min_len", "rank", "regex"]
-        t = self.sent
-        out = lines.join(t.where("n_ph = 0").withColumnRenamed("template", "msg"), "msg").select("msg", *take)
-        firsts = sorted({len(x.first) for x in self.compiled if x.n_ph and x.first})
-        if firsts:
-            keyed = lines.withColumn("first", F.explode(F.transform(F.array(*map(F.lit, firsts)), lambda n: F.when(F.length("msg") >= n, F.substring(F.col("msg"), F.lit(1), n)))))
-            out = out.union(keyed.join(t.where("n_ph > 0 and first <> ''"), "first").select("msg", *take))
-        lasts = sorted({len(x.last) for x in self.compiled if x.n_ph and not x.first and x.last})
-        if lasts:
-            keyed = lines.withColumn("last", F.explode(F.transform(F.array(*map(F.lit, lasts)), lambda n: F.when(F.length("msg") >= n, F.right(F.col("msg"), n)))))
-            out = out.union(keyed.join(t.where("n_ph > 0 and first = '' and last <> ''"), "last").select("msg", *take))
-        middles = sorted({x.middle for x in self.compiled if x.n_ph and not x.first and not x.last and x.middle})
-        if middles:
-            keyed = lines.withColumn("middle", F.explode(_contained(middles)(F.col("msg"))))
-            out = out.union(keyed.join(t.where("n_ph > 0 and first = '' and last = '' and middle <> ''"), "middle").select("msg", *take))
-        return out.where(F.octet_length("msg") >= F.col("min_len"))  # a lone placeholder is no candidate of anything
-
     def match_ids(self, messages: DataFrame) -> DataFrame:
-        """``messages`` (with a column msg) with template_id; -1 where none matches. Each distinct line is matched once."""
-        lines = messages.where("msg is not null").select("msg").distinct()
-        hits = self.candidates(lines).where(F.expr("msg rlike regex"))
-        best = hits.groupBy("msg").agg(F.min_by("template_id", F.struct(F.col("n_ph") > 0, F.col("rank"))).alias("template_id"))
-        return messages.join(best, "msg", "left").withColumn("template_id", F.coalesce("template_id", F.lit(-1)))
+        """``messages`` (with a column msg) with template_id; -1 where none matches. Messages are looked up where they lie:
+        nothing moves, and a task holds a batch and the index."""
+        return messages.withColumn("template_id", self.lookup()(F.make_valid_utf8("msg")))
 
     def match(self, messages: DataFrame) -> DataFrame:
         """``match_ids`` with args: what stands for each placeholder; null where none matches."""
@@ -162,23 +139,3 @@ class TemplateMatcher:
         args = F.expr("transform(sequence(1, greatest(n_ph, 1)), i -> regexp_extract(msg, regex, cast(if(n_ph = 0, 0, i) as int)))")
         args = F.when(F.col("n_ph") == 0, F.array().cast("array<string>")).otherwise(args)
         return found.withColumn("args", F.when(F.col("template_id") >= 0, args)).drop("regex", "n_ph")
-
-
-def _contained(literals: list[str]):
-    """All of the literals that stand in each text."""
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        try:
-            import ahocorasick
-        except ImportError:
-            index = TemplateIndex([])
-            index.middle, index.lengths[2] = dict.fromkeys(literals), sorted({len(x) for x in literals})
-            return texts.map(lambda t: sorted(index.contained(t)))
-        tree = ahocorasick.Automaton()
-        for x in literals:
-            tree.add_word(x, x)
-        tree.make_automaton()
-        return texts.map(lambda t: sorted({x for _, x in tree.iter(t)}))
-
-    return run
